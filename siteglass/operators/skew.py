@@ -1,0 +1,29 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def join_hot(
+    many: DataFrame,
+    one: DataFrame,
+    keys: list[str],
+    spread: Column,
+    how: str = "inner",
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join ``many`` rows per key with at most ``one`` row per key.
+
+    Each key of ``many`` is split over ``salts`` partitions by ``spread`` (any
+    column that differs between rows); the slim ``one`` side is repeated for each.
+    Adaptive skew handling splits what is still too large.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    spread_one = one.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    return salted.join(spread_one, [*keys, "_salt"], how).drop("_salt")
