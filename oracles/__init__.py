@@ -1,0 +1,7 @@
+"""Oracle SQL for every registered query that plain SQL can express."""
+
+from __future__ import annotations
+
+from . import page_queries
+
+ALL: dict[str, str] = {**page_queries.ORACLES}

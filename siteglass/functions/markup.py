@@ -45,12 +45,16 @@ def is_tag(tag: Column, name: str) -> Column:
     return tag.rlike(rf"(?i)^<{name}[\s/>]")
 
 
-def attr(tag: Column, name: str) -> Column:
-    """Decoded attribute value; an empty string when absent or without a value."""
+def attr(tag: Column, name: str, decode: bool = True) -> Column:
+    """Attribute value; an empty string when absent or without a value.
+
+    Keyword values hold no character references and need no decoding.
+    """
     raw = F.regexp_extract(
         tag, rf"(?is)^<[a-z][^\s/>]*{_SKIP_ATTRS}[\s/]+{name}\s*=\s*{_VALUE}", 1
     )
-    return decode_entities(F.regexp_replace(raw, r"""^["']|["']\z""", ""))
+    value = F.regexp_replace(raw, r"""^["']|["']\z""", "")
+    return decode_entities(value) if decode else value
 
 
 def has_attr(tag: Column, name: str) -> Column:
@@ -144,7 +148,7 @@ def json_ld_blocks(no_comments: Column) -> Column:
     )
     is_ld = F.filter(
         blocks,
-        lambda b: F.lower(attr(F.regexp_extract(b, "^(<[^>]*>)", 1), "type"))
+        lambda b: F.lower(attr(F.regexp_extract(b, "^(<[^>]*>)", 1), "type", decode=False))
         == "application/ld+json",
     )
     return F.transform(is_ld, lambda b: F.regexp_extract(b, r"(?is)^<[^>]*>(.*?)(?:</script|\z)", 1))

@@ -103,33 +103,28 @@ def format_utc_short(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "MMM d, yyyy"), F.lit("—"))
 
 
-def _code_point(hex_digits: Column) -> Column:
-    """One character from its hexadecimal code point; null when out of range."""
-    padded = F.lpad(hex_digits, 8, "0")
-    valid = padded.between("00000001", "0010FFFF") & ~padded.between("0000D800", "0000DFFF")
-    return F.when(valid, F.decode(F.unhex(padded), "UTF-32"))
-
-
 def _entity_map() -> Column:
-    pairs: list[Column] = []
-    for name, code in sorted(html.entities.name2codepoint.items()):
-        pairs += [F.lit(name), F.lit(chr(code))]
-    return F.create_map(*pairs)
+    """The named references of HTML 4 and ``apos`` as one literal map."""
+    named = {**html.entities.name2codepoint, "apos": 39}
+    pairs = "\n".join(f"{n}\t{chr(c)}" for n, c in sorted(named.items()))
+    return F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
+
+
+def _numbered(name: Column) -> Column:
+    """Character of ``#123`` or ``#x7b``; null when out of range or a surrogate."""
+    digits = F.when(
+        F.lower(F.substring(name, 2, 1)) == "x", F.upper(F.substring(name, 3, 8))
+    ).otherwise(F.hex(F.substring(name, 2, 8).try_cast("long")))
+    valid = "^00(?!000000)(00(?!D[89A-F])|0[1-9A-F]|10)"
+    return bind(
+        F.lpad(digits, 8, "0"), lambda p: F.when(p.rlike(valid), F.decode(F.unhex(p), "UTF-32"))
+    )
 
 
 def _decode_piece(p: Column, name: Column) -> Column:
     char = (
         F.when(name == "amp", F.lit("&"))
-        .when(name == "nbsp", F.lit("\u00a0"))
-        .when(name == "apos", F.lit("'"))
-        .when(
-            F.lower(F.substring(name, 1, 2)) == "#x",
-            _code_point(F.upper(F.substring(name, 3, 8))),
-        )
-        .when(
-            F.substring(name, 1, 1) == "#",
-            _code_point(F.hex(F.substring(name, 2, 8).try_cast("long"))),
-        )
+        .when(F.startswith(name, F.lit("#")), _numbered(name))
         .otherwise(F.try_element_at(_entity_map(), name))
     )
     known = F.concat(char, F.substring(p, F.length(name) + 2, F.length(p)))

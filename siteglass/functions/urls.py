@@ -188,7 +188,9 @@ def canonical_url(joined: Column, fragment: bool = True) -> Column:
 
 
     def canonical(u: Column) -> Column:
-        tail = F.regexp_extract(u, _FRAGMENT, 1) if fragment else F.lit("")
+        tail = F.lit("")
+        if fragment:
+            tail = percent_encode(F.regexp_extract(u, _FRAGMENT, 1), '"<>`')
         query = percent_encode(search(u), "\"<>'")
         opaque = u if fragment else F.regexp_replace(u, "#.*", "")
         return F.when(

@@ -247,15 +247,15 @@ def extract_signals(pages: DataFrame, include_script_text: bool = True) -> DataF
             "_metas": F.transform(
                 F.filter(tags, lambda t: M.is_tag(t, "meta")),
                 lambda t: F.struct(
-                    M.attr(t, "name").alias("name"),
-                    M.attr(t, "property").alias("property"),
+                    M.attr(t, "name", decode=False).alias("name"),
+                    M.attr(t, "property", decode=False).alias("property"),
                     M.attr(t, "content").alias("content"),
                 ),
             ),
             "_links": F.transform(
                 F.filter(tags, lambda t: M.is_tag(t, "link")),
                 lambda t: F.struct(
-                    F.lower(M.attr(t, "rel")).alias("rel"),
+                    F.lower(M.attr(t, "rel", decode=False)).alias("rel"),
                     M.attr(t, "href").alias("href"),
                     M.has_attr(t, "hreflang").alias("hreflang"),
                 ),
@@ -269,7 +269,7 @@ def extract_signals(pages: DataFrame, include_script_text: bool = True) -> DataF
             "has_lang": F.coalesce(
                 F.try_element_at(
                     F.transform(
-                        F.filter(tags, lambda t: M.is_tag(t, "html")), lambda t: M.attr(t, "lang")
+                        F.filter(tags, lambda t: M.is_tag(t, "html")), lambda t: M.attr(t, "lang", decode=False)
                     ),
                     F.lit(1),
                 )
