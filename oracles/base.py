@@ -84,7 +84,10 @@ def fill(template: str, *values: str) -> str:
 
 
 def fixed(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', cast({x} as double))"
+    """Decimals as text; the printf of the engine sends exact ties to even."""
+    d = f"cast({x} as double)"
+    tie = f"({d} * {2 ** (digits + 1)}) % 2 = 1"
+    return f"printf('%.{digits}f', case when {tie} then {d} + 1e-9 else {d} end)"
 
 
 def site_key(url: str) -> str:

@@ -28,8 +28,7 @@ select page_id, concat('https://', regexp_replace(url, '^https?://', '')) as for
   {rx_replace(_path, '/' + chr(92) + 'z')} = '' as home_path, true as home,
   not regexp_matches({_path}, '(?i)\\.(xml|pdf|png|js|css)\\z') as crawlable,
   cast(len(list_filter(string_split({_path}, '/'), lambda s: s <> '')) as bigint) as depth,
-  case page_id % 3 when 0 then case when {_host} like 'www.%' or {rx_replace(_host, '^www[.]')} = {_apex} then concat('www.', {_apex}) else {_apex} end
-       when 1 then {_apex} else {_apex} end as canonical_host,
+  case page_id % 3 when 0 then concat('www.', {_apex}) when 1 then {rx_replace(_host, '^www[.]')} else {_apex} end as canonical_host,
   starts_with(url, 'https://') as https
 from pages"""
 

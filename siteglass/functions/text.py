@@ -52,8 +52,16 @@ def js_round(c: Column) -> Column:
 
 
 def to_fixed(c: Column, digits: int) -> Column:
-    """Text with a fixed number of decimals and no grouping."""
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+    """Text with a fixed number of decimals, rounded from the exact binary value.
+
+    ``format_number`` rounds the exact value but sends ties to even; real ties are
+    odd multiples of a power of two and go up.
+    """
+    x = c.cast("double")
+    scaled = x * F.lit(float(2 ** (digits + 1)))
+    tie = (scaled == F.floor(scaled)) & (F.pmod(scaled, F.lit(2.0)) == 1.0)
+    plain = F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+    return F.when(tie, F.format_string(f"%.{digits}f", x)).otherwise(plain)
 
 
 def strip_markdown(c: Column) -> Column:
