@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import page_queries, site_queries
+from . import page_queries, report_queries, site_queries
 
-ALL: dict[str, str] = {**page_queries.ORACLES, **site_queries.ORACLES}
+ALL: dict[str, str] = {**page_queries.ORACLES, **site_queries.ORACLES, **report_queries.ORACLES}

@@ -341,7 +341,9 @@ def html_message_counts(messages: DataFrame, k: int = 6) -> DataFrame:
 def authority_rank(answers: DataFrame) -> DataFrame:
     """0–100 authority from ``(site_key, rank_integer, rank_decimal, status_code, error)``."""
     raw = F.coalesce(F.col("rank_integer").cast("double"), F.col("rank_decimal"))
-    scaled = F.least(F.lit(100), js_round(F.when(raw <= 10, raw * 10).otherwise(raw)))
+    rounded = js_round(F.when(raw <= 10, raw * 10).otherwise(raw))
+    # LEAST skips nulls, so a missing rank is kept apart.
+    scaled = F.when(raw.isNotNull(), F.least(F.lit(100), rounded))
     found = (
         F.when(F.col("status_code") == 404, AUTHORITY_UNLISTED).otherwise(AUTHORITY_FOUND)
     )
@@ -358,4 +360,4 @@ def authority_rank(answers: DataFrame) -> DataFrame:
 def authority_score(rank: Column) -> Column:
     """Score of the three authority checks; 50 without a rank."""
     clamped = F.least(F.lit(100), F.greatest(F.lit(0), js_round(rank.cast("double"))))
-    return F.coalesce(clamped, F.lit(50))
+    return F.when(rank.isNull(), 50).otherwise(clamped)

@@ -30,6 +30,7 @@ from ..operators import (
     usage,
 )
 from ..operators.signals import extract_signals
+from ..session import saved
 from ..sources.derived import crawl_pages, derived, supplied
 from ..streaming import ledger, pages as page_stream
 from .audit import home_headers, score_facts
@@ -61,6 +62,11 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
     return extract_signals(crawl_pages(spark, d))
 
 
+def _signal_table(spark: SparkSession, d: str) -> DataFrame:
+    """Signals for queries that read them more than once: extracted once, stored."""
+    return saved(_signals(spark, d), "signals")
+
+
 def _issues(spark: SparkSession, d: str) -> DataFrame:
     return rules_page.page_issues(_signals(spark, d))
 
@@ -286,7 +292,7 @@ def issue_group_urls(spark, d):
 
 @query
 def visible_urls(spark, d):
-    issues = _issues(spark, d)
+    issues = rules_page.page_issues(_signal_table(spark, d))
     shown = grouping.visible_urls(grouping.issue_group_urls(issues), grouping.group_issues(issues))
     return shown.select("site_key", "issue_key", _join("shown_urls").alias("shown"), "more_urls")
 
@@ -630,8 +636,8 @@ def _score_inputs(spark: SparkSession, d: str) -> DataFrame:
 
     A site takes the answers of the customer whose number is its page count.
     """
-    signals = _signals(spark, d)
-    facts = sites.site_facts(signals)
+    signals = _signal_table(spark, d)
+    facts = saved(sites.site_facts(signals), "facts")
     key = facts.select(
         "site_key", F.concat(F.lit("c"), F.col("n_pages"), F.lit(".example.com")).alias("c_key")
     )
@@ -688,13 +694,13 @@ def home_header_grade(spark, d):
 # --- reports ------------------------------------------------------------------
 
 
-def _saved_pages(spark: SparkSession, d: str) -> DataFrame:
-    return _signals(spark, d).withColumn("audit_id", F.length("site_key"))
+def _as_audits(signals: DataFrame) -> DataFrame:
+    return signals.withColumn("audit_id", F.length("site_key"))
 
 
-def _saved_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Page findings as a saved table; some lack their page, category or key."""
-    return _issues(spark, d).withColumns(
+def _stored_issues(signals: DataFrame) -> DataFrame:
+    """Page findings as a stored table; some lack their page or an up-to-date category."""
+    return rules_page.page_issues(signals).withColumns(
         {
             "audit_id": F.length("site_key"),
             "issue_id": F.col("page_id") * 100 + F.col("rule_seq"),
@@ -711,6 +717,16 @@ def _saved_issues(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _saved_issues(spark: SparkSession, d: str) -> DataFrame:
+    return _stored_issues(_signals(spark, d))
+
+
+def _saved_audits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and findings of the same stored signals."""
+    signals = _signal_table(spark, d)
+    return _as_audits(signals), saved(_stored_issues(signals), "issues")
+
+
 @query
 def report_groups(spark, d):
     groups = grouping.group_report_issues(
@@ -721,44 +737,44 @@ def report_groups(spark, d):
 
 @query
 def attach_page_id(spark, d):
-    issues = report.attach_page_id(_saved_issues(spark, d), _saved_pages(spark, d))
+    issues = report.attach_page_id(*reversed(_saved_audits(spark, d)))
     return issues.select("issue_id", "page_id")
 
 
 @query
 def issues_with_page(spark, d):
-    joined = report.issues_with_page(_saved_issues(spark, d), _saved_pages(spark, d))
+    joined = report.issues_with_page(*reversed(_saved_audits(spark, d)))
     return _longs(joined, "page_word_count").select("issue_id", "page_url", "page_title", "page_word_count")
 
 
 @query
 def pages_with_serious_issue(spark, d):
-    pages, issues = _saved_pages(spark, d), _saved_issues(spark, d)
+    pages, issues = _saved_audits(spark, d)
     return _longs(report.pages_with_serious_issue(pages, issues, 5), "audit_id").select("audit_id", "page_id")
 
 
 @query
 def page_issue_lists(spark, d):
-    lists = report.page_issue_lists(_saved_pages(spark, d), _saved_issues(spark, d))
+    lists = report.page_issue_lists(*_saved_audits(spark, d))
     return lists.select("page_id", "position", "title", "severity")
 
 
 @query
 def issue_count_per_page(spark, d):
-    counts = report.issue_count_per_page(_saved_pages(spark, d), _saved_issues(spark, d))
+    counts = report.issue_count_per_page(*_saved_audits(spark, d))
     return counts.select("page_id", "issue_count")
 
 
 @query
 def audit_children(spark, d):
-    children = report.audit_children(_saved_pages(spark, d), _saved_issues(spark, d))
+    children = report.audit_children(*_saved_audits(spark, d))
     return _longs(children, "audit_id")
 
 
 @query
 def compact_summary(spark, d):
-    audits = _saved_pages(spark, d).select("audit_id").distinct()
-    summary = report.compact_summary(audits, _saved_issues(spark, d))
+    pages, issues = _saved_audits(spark, d)
+    summary = report.compact_summary(pages.select("audit_id").distinct(), issues)
     top = F.transform("top_problems", lambda p: F.concat_ws(":", p["title"], p["severity"], p["category"]))
     return _longs(summary, "audit_id").select("audit_id", _join(top).alias("top_problems"))
 
@@ -869,17 +885,15 @@ def request_batches(spark, d):
     return _longs(batches, "batch_no", "idx", "audit_id").select("audit_id", "batch_no", "idx", "issue_id")
 
 
-def _batches(spark: SparkSession, d: str) -> DataFrame:
-    issues = _saved_issues(spark, d)
-    candidates = recommend.batch_issues(recommend.recommendation_candidates(issues))
-    return candidates.withColumn("domain", F.col("site_key"))
+def _batches(issues: DataFrame) -> DataFrame:
+    batches = recommend.batch_issues(recommend.recommendation_candidates(issues))
+    return batches.withColumn("domain", F.lit("the site"))
 
 
 @query
 def enrichment_requests(spark, d):
-    with_page = report.issues_with_page(
-        _batches(spark, d).withColumn("domain", F.lit("the site")), _saved_pages(spark, d)
-    )
+    pages, issues = _saved_audits(spark, d)
+    with_page = report.issues_with_page(_batches(issues), pages)
     return _longs(recommend.enrichment_requests(with_page), "audit_id", "batch_no", "issues")
 
 
@@ -902,7 +916,7 @@ def _answers(batches: DataFrame) -> DataFrame:
 
 @query
 def apply_enrichment(spark, d):
-    batches = _batches(spark, d)
+    batches = saved(_batches(_saved_issues(spark, d)), "batches")
     rows = recommend.apply_enrichment(batches, _answers(batches))
     return rows.select(
         "issue_id", "title", "why_it_matters", "how_to_fix", "priority", "impact", "effort",
@@ -912,11 +926,12 @@ def apply_enrichment(spark, d):
 
 def _category_rows(spark: SparkSession, d: str) -> DataFrame:
     cats = F.array(*[F.lit(c) for c in dims.CATEGORIES])
-    audits = _saved_pages(spark, d).select("audit_id").distinct()
+    pages, issues = _saved_audits(spark, d)
+    audits = pages.select("audit_id").distinct()
     scores = audits.select("audit_id", F.posexplode(cats).alias("i", "category")).select(
         "audit_id", "category", ((F.col("audit_id") * 7 + F.col("i") * 31) % 101).alias("score")
     )
-    return recommend.category_recommendations(scores, _saved_issues(spark, d))
+    return recommend.category_recommendations(scores, issues)
 
 
 @query
@@ -930,7 +945,7 @@ def category_recommendations(spark, d):
 
 @query
 def page_summaries(spark, d):
-    rows = recommend.page_summary(_saved_pages(spark, d), _saved_issues(spark, d))
+    rows = recommend.page_summary(*_saved_audits(spark, d))
     return rows.select(
         "page_id", "page_url", "summary", _join("main_problems").alias("problems"),
         _join("recommended_fixes").alias("fixes"), "priority",

@@ -1,8 +1,9 @@
-"""Session defaults and lineage cuts."""
+"""Session defaults and shared work folders."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,22 @@ def build_session(master: str | None = None, app: str = "siteglass", **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only in local runs."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        return tempfile.mkdtemp(prefix=f"siteglass-{name}-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    ``spark.checkpoint.dir`` is read from the session; a temporary folder is only
-    used where it is unset, as in local tests.
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back.
+
+    The folder is shared by all executors, so a lost executor costs nothing but its
+    running tasks, and readers still prune columns.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="siteglass-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

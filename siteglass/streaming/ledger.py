@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import payments as P
-from .runs import latest, run_append, run_updates, work_folder
+from .runs import latest, run_updates, work_folder
 
 _FIELDS = ("status", "payment_id", "email", "contact", "method", "error_code",
            "error_description", "paid_seq", "last_event")
@@ -65,8 +65,8 @@ def _fold_group(
         state = fold_event(state, event)
     group.update(tuple(state[f] for f in _FIELDS))
     out = pd.DataFrame([{"order_id": key[0], **state, "seq": int(rows["seq"].iloc[-1])}])
-    out["paid_seq"] = out["paid_seq"].astype("Int64")
-    yield out
+    types = {c: "string" for c in ("order_id", *_FIELDS)}
+    yield out.astype({**types, "paid_seq": "Int64"})
 
 
 def ledger_stream(events: DataFrame, orders: DataFrame) -> DataFrame:
@@ -81,8 +81,9 @@ def ledger_stream(events: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def confirmation_stream(confirmations: DataFrame) -> DataFrame:
-    """The first confirmation of each payment id; later ones are dropped."""
-    return confirmations.dropDuplicates(["payment_id"])
+    """The order that owns each payment id: the one that brought it first."""
+    owner = F.min_by("order_id", "seq").alias("order_id")
+    return confirmations.groupBy("payment_id").agg(owner)
 
 
 def run_status(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -101,4 +102,5 @@ def run_ledger(spark: SparkSession, events: DataFrame, orders: DataFrame) -> Dat
 
 
 def run_confirmations(spark: SparkSession, confirmations: DataFrame) -> DataFrame:
-    return run_append(confirmation_stream(confirmations), work_folder(spark, "confirm"))
+    updates = run_updates(confirmation_stream(confirmations), work_folder(spark, "confirm"))
+    return latest(updates, ["payment_id"])

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_folder
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only in local runs."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix=f"siteglass-{name}-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["latest", "run_append", "run_updates", "work_folder"]
 
 
 def run_append(stream: DataFrame, folder: str) -> DataFrame:
