@@ -54,7 +54,7 @@ def attr(tag: Column, name: str, decode: bool = True) -> Column:
         tag, rf"(?is)^<[a-z][^\s/>]*{_SKIP_ATTRS}[\s/]+{name}\s*=\s*{_VALUE}", 1
     )
     value = F.regexp_replace(raw, r"""^["']|["']\z""", "")
-    return decode_entities(value) if decode else value
+    return bind(value, decode_entities) if decode else value
 
 
 def has_attr(tag: Column, name: str) -> Column:
@@ -67,7 +67,7 @@ def strip_tags(h: Column) -> Column:
 
 def element_text(h: Column) -> Column:
     """Text content of a fragment that holds no script or style element."""
-    return decode_entities(strip_tags(h))
+    return bind(strip_tags(h), decode_entities)
 
 
 def first_element_text(markup: Column, name: str) -> Column:
@@ -117,7 +117,7 @@ def body_text(body: Column, include_script_text: bool = True) -> Column:
 
 
 def anchors(markup: Column) -> Column:
-    """``array<struct<href, has_href, text>>`` of the ``a`` elements, in order.
+    """``array<struct<tag, href, text>>`` of the ``a`` elements, in order.
 
     An anchor ends at its end tag, at the next anchor, or at the end of input.
     """
@@ -126,8 +126,8 @@ def anchors(markup: Column) -> Column:
     def parse(p: Column, tag: Column) -> Column:
         body = F.regexp_extract(p, rf"(?is)^{_INSIDE}>(.*?)(?:</a[\s>]|\z)", 1)
         return F.struct(
+            tag.alias("tag"),
             attr(tag, "href").alias("href"),
-            has_attr(tag, "href").alias("has_href"),
             element_text(body).alias("text"),
         )
 

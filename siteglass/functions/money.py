@@ -29,8 +29,8 @@ def format_inr(paise: Column) -> Column:
 
 
 def amount_label(paise: Column) -> Column:
-    flat = [F.lit(x) for kv in AMOUNT_LABELS.items() for x in kv]
-    known = F.try_element_at(F.create_map(*flat), paise.cast("int"))
+    flat = [x for k, v in AMOUNT_LABELS.items() for x in (F.lit(k).cast("long"), F.lit(v))]
+    known = F.try_element_at(F.create_map(*flat), paise.cast("long"))
     return F.coalesce(known, format_inr(paise))
 
 

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from .text import bind, js_trim
 
 _AUTHORITY = r"(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::[0-9]*)?(?:[/?#]|\z)"
+_SITE = (
+    r"(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@\s]+)(?::[0-9]*)?(?:[/?#]|\z)"
+)
+# URLs that are canonical as they stand: plain characters, no port, no fragment.
+_PLAIN = r"^https?://[a-z0-9.\-]+/[A-Za-z0-9\-._~!$&()*+,;=:@%/?]*\z"
 _PORT = r"(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?[^/?#:@\s]+:([0-9]+)(?:[/?#]|\z)"
 _SCHEME = r"(?i)^([a-z][a-z0-9+.\-]*):"
 _PATH = r"(?i)^[a-z][a-z0-9+.\-]*://[^/?#]*([^?#]*)"
@@ -41,7 +46,8 @@ def drop_www(c: Column) -> Column:
 
 
 def site_key(c: Column) -> Column:
-    return drop_www(host(c))
+    """Lower-cased host without a leading ``www.``."""
+    return F.lower(F.nullif(F.regexp_extract(c, _SITE, 1), F.lit("")))
 
 
 def is_same_site(a: Column, b: Column) -> Column:
@@ -183,6 +189,10 @@ def clean_path(joined: Column) -> Column:
     return percent_encode(remove_dot_segments(raw_path(joined)), r'"<>`{}^')
 
 
+def _is_plain(u: Column) -> Column:
+    return ~F.contains(u, F.lit("/.")) & u.rlike(_PLAIN)
+
+
 def canonical_url(joined: Column, fragment: bool = True) -> Column:
     """Canonical text of an absolute URL; null where it is not valid."""
 
@@ -193,9 +203,8 @@ def canonical_url(joined: Column, fragment: bool = True) -> Column:
             tail = percent_encode(F.regexp_extract(u, _FRAGMENT, 1), '"<>`')
         query = percent_encode(search(u), "\"<>'")
         opaque = u if fragment else F.regexp_replace(u, "#.*", "")
-        return F.when(
-            is_special(u), F.concat(origin(u), clean_path(u), query, tail)
-        ).otherwise(opaque)
+        full = F.concat(origin(u), clean_path(u), query, tail)
+        return F.when(_is_plain(u), u).when(is_special(u), full).otherwise(opaque)
 
     return bind(joined, canonical)
 
@@ -207,7 +216,9 @@ def drop_trailing_slash(joined: Column) -> Column:
     def trimmed(u: Column) -> Column:
         path = F.regexp_replace(clean_path(u), r"(.)/\z", "$1")
         full = F.concat(origin(u), path, percent_encode(search(u), "\"<>'"))
-        return F.when(is_special(u), full).otherwise(F.regexp_replace(u, "#.*", ""))
+        as_is = ~F.endswith(u, F.lit("/")) & ~F.contains(u, F.lit("/?")) & _is_plain(u)
+        opaque = F.regexp_replace(u, "#.*", "")
+        return F.when(as_is, u).when(is_special(u), full).otherwise(opaque)
 
     return bind(joined, trimmed)
 

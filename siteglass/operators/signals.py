@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import urls as U
-from ..functions.text import count_words, js_trim, squash_ws, trim_to_null
+from ..functions.text import JS_WS, count_words, squash_ws, trim_to_null
 
 # Link texts that say nothing about the target.
-GENERIC_ANCHOR = r"(?i)^(click here|read more|learn more|here|more|link)\z"
+GENERIC_ANCHOR = rf"(?i)^{JS_WS}*(click here|read more|learn more|here|more|link){JS_WS}*\z"
 # Patterns looked for in page text and markup.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 MIXED_CONTENT = (
@@ -153,9 +153,8 @@ def _link_columns(df: DataFrame) -> DataFrame:
             "site_key": U.site_key(F.col("url")),
         }
     )
-    linked = F.filter(F.col("_anchors"), lambda a: a["has_href"])
     followed = F.filter(
-        linked,
+        F.col("_anchors"),
         lambda a: (a["href"] != "")
         & ~F.startswith(a["href"], F.lit("#"))
         & ~F.startswith(a["href"], F.lit("mailto:"))
@@ -170,7 +169,9 @@ def _link_columns(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "generic_link_count": _count(
-                linked, lambda a: js_trim(a["text"]).rlike(GENERIC_ANCHOR)
+                F.col("_anchors"),
+                lambda a: a["text"].rlike(GENERIC_ANCHOR)
+                & ((a["href"] != "") | M.has_attr(a["tag"], "href")),
             ),
             "_joined": F.transform(
                 joined, lambda j: F.struct(j.alias("u"), U.site_key(j).alias("k"))

@@ -30,7 +30,7 @@ from ..operators import (
     usage,
 )
 from ..operators.signals import extract_signals
-from ..session import saved
+from ..session import saved, spread_small
 from ..sources.derived import crawl_pages, derived, supplied
 from ..streaming import ledger, pages as page_stream
 from .audit import home_headers, score_facts
@@ -58,6 +58,10 @@ def _stamp(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
+def _plain_pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread_small(supplied(spark, d, "pages"))
+
+
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     return extract_signals(crawl_pages(spark, d))
 
@@ -180,7 +184,7 @@ def client_ips(spark, d):
 
 @query
 def page_signals_text(spark, d):
-    s = extract_signals(supplied(spark, d, "pages"))
+    s = extract_signals(_plain_pages(spark, d))
     cols = ("h1_count", "h2_count", "h3_count", "word_count", "html_size_bytes")
     return _longs(s, *cols).select("page_id", "title", "h1", "has_email_plaintext", *cols)
 
@@ -272,7 +276,7 @@ def page_rules(spark, d):
 @query
 def page_rules_plain(spark, d):
     """The page rules over the supplied pages as they are."""
-    issues = rules_page.page_issues(extract_signals(supplied(spark, d, "pages")))
+    issues = rules_page.page_issues(extract_signals(_plain_pages(spark, d)))
     return issues.select("page_id", "issue_key", "severity", "description")
 
 
@@ -300,7 +304,7 @@ def visible_urls(spark, d):
 @query
 def worst_sites(spark, d):
     """Which sites have the worst on-page problems: ordered groups of the plain pages."""
-    issues = rules_page.page_issues(extract_signals(supplied(spark, d, "pages")))
+    issues = rules_page.page_issues(extract_signals(_plain_pages(spark, d)))
     groups = grouping.order_groups(grouping.group_issues(issues))
     return groups.where(F.col("category") == "onpage").select(
         "site_key", "issue_key", "severity", "title", "first_url", "url_count", "count"
@@ -396,7 +400,7 @@ def sample_links(spark, d):
 
 @query
 def dup_titles(spark, d):
-    dups = sites.duplicate_values(extract_signals(supplied(spark, d, "pages")), "title")
+    dups = sites.duplicate_values(extract_signals(_plain_pages(spark, d)), "title")
     return dups.select("site_key", "value", "pages", "first_url")
 
 

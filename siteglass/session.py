@@ -45,3 +45,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small scan one partition per core.
+
+    HTML is expensive per byte, so a table of a few files would leave most cores
+    idle. Inputs that already fill the cluster are returned as they are: their HTML
+    is never shuffled. ``df`` must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread_small
+
 _HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 _Q = "chr(39)"
 
@@ -321,7 +323,7 @@ def supplied(spark: SparkSession, sf_dir: str, name: str, stream: bool = False)
 
 def crawl_pages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Supplied pages with the markup, fetch data and headers an audit looks at."""
-    pages = supplied(spark, sf_dir, "pages", stream).selectExpr(
+    pages = spread_small(supplied(spark, sf_dir, "pages", stream)).selectExpr(
         *[f"{sql} as {name}" for name, sql in CRAWL_PAGE_COLUMNS.items()]
     )
     entries = F.array(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import site_key
 from ..operators.refresh import delete_audits
 from ..operators.report import attach_page_id
+from ..session import spread_small
 from . import schemas
 
 
@@ -16,7 +17,7 @@ def read_pages(spark: SparkSession, path: str, fetch_meta: str | None = None) ->
 
     Pages without fetch data read as status 200 without headers.
     """
-    pages = spark.read.schema(schemas.PAGES).parquet(path)
+    pages = spread_small(spark.read.schema(schemas.PAGES).parquet(path))
     if fetch_meta is None:
         return pages
     meta = spark.read.schema(schemas.FETCH_META).parquet(fetch_meta)
