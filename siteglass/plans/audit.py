@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grouping, links, payloads, rules_external, rules_page, scoring, sites
 from ..operators.rules import union_issues
-from ..operators.signals import extract_signals
+from ..operators.signals import extract_signals, looks_like_html
 
 
 @dataclass(frozen=True)
@@ -181,9 +181,10 @@ def audit_signals(signals: DataFrame, inputs: AuditInputs) -> AuditResult:
 def run_audit(inputs: AuditInputs, signals_path: str) -> AuditResult:
     """Extract signals once into ``signals_path`` and audit from there.
 
-    The HTML is read in a single narrow pass and never shuffled; a lost executor
+    Answers that do not start like an HTML document are no pages. The HTML is read in a single narrow pass and never shuffled; a lost executor
     only repeats its own files.
     """
     spark = inputs.pages.sparkSession
-    extract_signals(inputs.pages).write.mode("overwrite").parquet(signals_path)
+    documents = inputs.pages.where(looks_like_html(F.col("html")))
+    extract_signals(documents).write.mode("overwrite").parquet(signals_path)
     return audit_signals(spark.read.parquet(signals_path), inputs)

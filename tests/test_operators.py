@@ -105,9 +105,12 @@ def test_user_rules_and_checks_plug_in(spark):
 
 def test_full_audit(spark, sf_dir, tmp_path):
     pages = crawl_pages(spark, sf_dir)
+    no_page = pages.limit(1).withColumns({"page_id": F.lit(10**6), "html": F.lit("%PDF-1.7")})
+    pages = pages.unionByName(no_page)
     status = derived(spark, sf_dir, "url_status")
     result = run_audit(AuditInputs(pages, url_status=status), str(tmp_path / "signals"))
     issues, groups = result.issues, result.groups
+    assert result.signals.count() == pages.count() - 1
     assert tuple(issues.columns) == ISSUE_COLUMNS
     assert groups.agg(F.sum("count")).first()[0] == issues.count()
     assert groups.agg(F.sum("url_count")).first()[0] == result.group_urls.count()
