@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, token_counts
+from . import licenses, mixing, packing, quality, revisits, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -37,10 +38,33 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture in the history of the pages, revisits resolved."""
+    done = revisits.resolved(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
+    lines = F.transform(
+        F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])
+    )
+    return done.withColumn("headers", F.array_join(lines, "\n"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.judged(table(spark, sf_dir, "pages"), model)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_source_mix": op3_source_mix,
     "op4_token_counts": op4_token_counts,
+    "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_revisits": op8_revisits,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {}
