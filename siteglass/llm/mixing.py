@@ -135,14 +135,15 @@ def mixed(
     of one hash bucket's words away from it, which is one document unless rows repeat.
     """
     keep = keep or ["doc_id"]
-    sizes = stored(sized(docs, keep), "mix-sizes")
+    sizes = stored(sized(docs, ["doc_id"]), "mix-sizes")
     targets = stored(source_targets(sizes, weights, max_copies), "mix-targets")
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     copies = F.least(copies, F.lit(max_copies)).cast("long")
     plan = targets.withColumn("_copies", copies)
     budgets = plan.withColumn("_budget", F.col("target") - F.col("_copies") * F.col("source_size"))
     ends = thresholds(sizes, budgets.where(F.col("_copies") < max_copies))
-    rows = _same_source(_same_source(sizes, plan), ends)
+    rows = sizes if keep == ["doc_id"] else sized(docs, keep)
+    rows = _same_source(_same_source(rows, plan), ends)
     digits = F.col("_hash")
     once_more = F.coalesce((digits < F.col("_below")) | (digits == F.col("_last")), F.lit(False))
     taken = F.col("size") * (F.col("_copies") + once_more.cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, packing, quality, revisits, token_counts, url_filter
+from . import jaccard, licenses, mixing, ngram_lm, packing, quality, revisits, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -57,6 +57,11 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("headers", F.array_join(lines, "\n"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and interpolated log probability of every document."""
+    return ngram_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     model = url_filter.fit(url_filter.labelled_urls(spark))
@@ -71,6 +76,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_revisits": op8_revisits,
+    "op9_lm_scores": op9_lm_scores,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {}
