@@ -12,7 +12,8 @@ by their least shingle hashes (prefix filter).
 
 Copies are one class from the start. The sets in a cell are first compared with the least
 of them only. Pairs that are still in different components, but met around the same
-least set, are compared afterwards unless sizes or a 512-bit parity sketch exclude them; so
+least set, are compared afterwards unless sizes or a parity sketch of the whole set, about a
+bit per shingle, exclude them; so
 links within a large group are never spelled out, and no component is missed.
 """
 
@@ -21,7 +22,6 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -35,7 +35,6 @@ from .storage import discard, stored
 
 WORDS = 5
 SIMILARITY = (80, 100)  # linked when 100 * intersection >= 80 * union
-SKETCH = [f"sketch{i}" for i in range(8)]
 REMEMBERED = 400_000
 _U = np.uint64
 _FACTORS = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -125,8 +124,13 @@ def join_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """512 parity bits of a set; differing bits never exceed differing shingles."""
-    odd = np.bincount((hashes & _U(511)).astype(np.int64), minlength=512) & 1
+    """Parity bits of a set, 512 or the power of two from its size on.
+
+    Differing bits never exceed differing shingles. The two halves of a longer sketch give
+    the next shorter one by XOR.
+    """
+    size = max(512, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 512
+    odd = np.bincount((hashes & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -136,7 +140,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     Of copies read by one task only the first has join keys; so a text that fills the
     table adds its keys once per task.
     """
-    fields = "doc_id long, n_shingles long, digest1 long, digest2 long, " + ", ".join(f"{c} long" for c in SKETCH)
+    fields = "doc_id long, n_shingles long, digest1 long, digest2 long, sketch array<long>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
@@ -156,15 +160,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 if new:
                     seen.add((*digest, len(hashes)))
                 keys.append(join_keys(hashes).view(np.int64) if new else None)
-            bits = np.array(sketches, np.int64).reshape(len(sizes), len(SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, pa.array(sizes, pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                    *[pa.array(bits[:, i]) for i in range(len(SKETCH))],
+                    pa.array(sketches, pa.list_(pa.int64())),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "digest1", "digest2", *SKETCH, "keys"],
+                ["doc_id", "n_shingles", "digest1", "digest2", "sketch", "keys"],
             )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -174,14 +177,23 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def _possible(a: str, b: str) -> Column:
     """Sizes and sketches of two rows allow the similarity."""
     n, other = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
-    bits = [F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH]
-    near = 9 * reduce(lambda x, y: x + y, bits) <= n + other
+    one, two = F.col(f"{a}sketch"), F.col(f"{b}sketch")
+    size = F.least(F.size(one), F.size(two))
+
+    def folded(sketch: Column) -> Column:
+        halves = F.zip_with(
+            F.slice(sketch, F.lit(1), size), F.slice(sketch, size + 1, size), lambda x, y: x.bitwiseXOR(y)
+        )
+        return F.when(F.size(sketch) > size, halves).otherwise(sketch)
+
+    bits = F.zip_with(folded(one), folded(two), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    near = 9 * F.aggregate(bits, F.lit(0), lambda total, x: total + x) <= n + other
     return (5 * F.least(n, other) >= 4 * F.greatest(n, other)) & near
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, *ends: str) -> DataFrame:
     for end in ends:
-        renamed = sets.select([F.col(c).alias(end if c == "rep" else f"{end}_{c}") for c in ["rep", "n_shingles", *SKETCH]])
+        renamed = sets.select([F.col(c).alias(end if c == "rep" else f"{end}_{c}") for c in ["rep", "n_shingles", "sketch"]])
         pairs = pairs.join(renamed, end)
     return pairs
 
@@ -218,11 +230,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with one row each; a row without ``doc_id`` takes the component of its exact copies,
     null if there is none. An empty table gives no rows; further columns are left out.
     """
-    sets = stored(shingle_sets(docs), "shingle-sets")
+    with_keys = stored(shingle_sets(docs), "shingle-keys")
+    sets = stored(with_keys.drop("keys"), "shingle-sets")
     same = ["n_shingles", "digest1", "digest2"]
     filled = sets.where("n_shingles > 0")
     classes = stored(
-        filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in SKETCH]),
+        filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")),
         "shingle-classes",
     )
     member = stored(
@@ -232,12 +245,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
     # Sets that share a key, each with the least set there.
-    keyed = sets.where("keys is not null").select("doc_id", F.explode("keys").alias("key"))
+    keyed = with_keys.where("keys is not null").select("doc_id", F.explode("keys").alias("key"))
     met = keyed.withColumn("least", F.min("doc_id").over(Window.partitionBy("key")))
     met = met.where("doc_id <> least").select("least", "doc_id").distinct()
     for end, out in (("least", "g"), ("doc_id", "x")):
         met = met.join(member.select(F.col("doc_id").alias(end), F.col("rep").alias(out)), end)
     around = stored(met.where("g <> x").select("g", "x").distinct(), "shingle-met")
+    discard(with_keys)
 
     pairs = around.select(F.least("g", "x").alias("a"), F.greatest("g", "x").alias("b")).distinct()
     tested = _with_sets(pairs, classes, "a", "b").where(_possible("a_", "b_")).select("a", "b")

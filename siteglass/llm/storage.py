@@ -12,6 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Once the table is written, the exchanges that led to it are no longer needed.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; where that is unset, local runs only."""
     base = spark.conf.get("spark.checkpoint.dir", "")
@@ -27,7 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder, and read back."""
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(folder)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before else spark.conf.unset(_CLEAN_UP)
     back = spark.read.schema(df.schema).parquet(folder)
     back.stored_in = folder
     return back
