@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, ngram_lm, packing, quality, revisits, token_counts, url_filter
+from . import jaccard, licenses, mixing, neighbours, ngram_lm, packing, quality, revisits, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -48,6 +48,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every capture in the history of the pages, revisits resolved."""
     done = revisits.resolved(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
@@ -75,6 +81,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_nn_descent": op7_nn_descent,
     "op8_revisits": op8_revisits,
     "op9_lm_scores": op9_lm_scores,
     "op10_url_filter": op10_url_filter,
