@@ -148,9 +148,8 @@ def language_references(features: DataFrame, rules: QualityRules) -> dict[str, d
     }
 
 
-def js_distance(counts: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance, base 2, of a histogram to a fixed one; null if empty."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+def js_distance(counts: Column, total: Column, reference: list[int]) -> Column:
+    """Jensen-Shannon distance, base 2, of a histogram with a sum to a fixed one; null if empty."""
     whole = float(sum(reference)) or 1.0
     fixed = F.array(*[F.lit(x / whole) for x in reference])
 
@@ -181,8 +180,8 @@ def judged(docs: DataFrame, rules: QualityRules | None = None, keep: list[str] |
     features = stored(text_features(docs, rules, carried), "quality")
     references = language_references(features, rules)
 
-    def nearest(name: str) -> Column:
-        found = [F.round(js_distance(F.col(name), r[name]), 6) for r in references.values()]
+    def nearest(name: str, total: str) -> Column:
+        found = [F.round(js_distance(F.col(name), F.col(total), r[name]), 6) for r in references.values()]
         return F.least(*found) if len(found) > 1 else (found or [F.lit(None).cast("double")])[0]
 
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
@@ -193,7 +192,7 @@ def judged(docs: DataFrame, rules: QualityRules | None = None, keep: list[str] |
     )
     return (
         features.withColumns(
-            {"class_distance": nearest("class_counts"), "word_distance": nearest("word_counts")}
+            {"class_distance": nearest("class_counts", "n_chars_read"), "word_distance": nearest("word_counts", "n_words")}
         )
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & ~(enough & far))
