@@ -18,7 +18,7 @@ import regex
 from tokenizers import Tokenizer
 
 # Chunks remembered per worker, some 150 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 # Texts of these characters alone are lower-cased and cut at white space the same way by
 # Python and by the tokenizer; others go through the tokenizer's own normalizer.
