@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import discard, stored
 
 END = xxhash.xxh64_intdigest(b"\nend") - (1 << 63)  # no word holds a line break
 SHIFT = 20  # bits of a class number in a bigram key
 DIGITS = 1_000_000_000  # scores are summed as whole billionths, so that order doesn't matter
 BUCKETS = 24
 STEPS = 4  # histogram cells per doubling of a probability
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -152,12 +152,12 @@ def _documents(batches, v: Vocabulary):
             row += 1
 
 
-def _chunked(rows, most: int = 500_000):
+def _chunked(rows, most: int):
     """Lists of arrays with about ``most`` values each."""
     chunk, n = [], 0
     for arrays in rows:
         chunk.append(arrays)
-        n += len(arrays[-1])
+        n += len(arrays[-1]) + 1
         if n >= most:
             yield chunk
             chunk, n = [], 0
@@ -165,66 +165,71 @@ def _chunked(rows, most: int = 500_000):
         yield chunk
 
 
-def bigram_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(key, c): exact training counts of all pairs of classes."""
-
-    def count(batches):
-        trained = ((_bigram_keys(p, v),) for _, i, p in _documents(batches, v) if remainder(i) != 1)
-        for chunk in _chunked(trained, 4_000_000):
-            keys, counts = np.unique(np.concatenate([c[0] for c in chunk]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "c"])
-
-    parts = docs.select("doc_id", "text").mapInArrow(count, "key long, c long")
-    return parts.groupBy("key").agg(F.sum("c").cast("long").alias("c"))
-
-
 def document_bigrams(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(row, key, n, train): the pairs of every document with their counts there."""
+    """(row, key, n): the pairs of every document and their counts there, negative if held out."""
 
     def pairs(batches):
         def each():
             for row, doc_id, places in _documents(batches, v):
                 keys, n = np.unique(_bigram_keys(places, v), return_counts=True)
-                yield np.full(len(keys), row), np.full(len(keys), remainder(doc_id) != 1), n.astype(np.int32), keys
+                sign = -1 if remainder(doc_id) == 1 else 1
+                yield np.full(len(keys), row), (sign * n).astype(np.int32), keys
 
-        for chunk in _chunked(each()):
-            row, train, n, key = (np.concatenate(x) for x in zip(*chunk))
+        for chunk in _chunked(each(), 250_000):
+            row, n, key = (np.concatenate(x) for x in zip(*chunk))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(key), pa.array(n), pa.array(train)], ["row", "key", "n", "train"]
+                [pa.array(row), pa.array(key), pa.array(n)], ["row", "key", "n"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(pairs, "row long, key long, n int, train boolean")
+    return docs.select("doc_id", "text").mapInArrow(pairs, "row long, key long, n int")
+
 
+def documents_and_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Two kinds of rows from one pass over the texts.
 
-def document_facts(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """One row per document: counts, the base score of vocabulary words, its rare words."""
+    With ``row``: a document's counts, the base score of its vocabulary words, its rare words.
+    With ``key``: a part of the training count ``c`` of a pair of classes.
+    """
     logs = np.log10((v.counts + 0.5) / v.base_total)
     schema = (
         "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-        "rare array<long>, rare_n array<int>"
+        "rare array<long>, rare_n array<int>, key long, c long"
     )
+    fields = pa.schema(
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+         ("n_known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())),
+         ("rare_n", pa.list_(pa.int32())), ("key", pa.int64()), ("c", pa.int64())]
+    )
+
+    def rows_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields]
+        return pa.RecordBatch.from_arrays(arrays, schema=fields)
 
-    def facts(batches):
+    def make(batches):
         def each():
             for row, doc_id, places in _documents(batches, v):
                 rare, n = np.unique(places[places < 0], return_counts=True)
                 frequent = places[places >= 0]
-                base = float(logs[frequent].sum() + logs[v.end])
-                known = len(frequent) + int(v.counts[v.end] > 0)
-                yield row, doc_id, remainder(doc_id) == 1, len(places) + 1, known, base, n.astype(np.int32), rare
-
-        for chunk in _chunked(each()):
-            row, doc_id, held, tokens, known, base, n, rare = zip(*chunk)
-            columns = [
-                pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held), pa.array(tokens, pa.int64()),
-                pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())),
-                pa.array(n, pa.list_(pa.int32())),
-            ]
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "rare_n"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                held = remainder(doc_id) == 1
+                yield {
+                    "row": row, "doc_id": doc_id, "held_out": held, "n_tokens": len(places) + 1,
+                    "n_known": len(frequent) + int(v.counts[v.end] > 0),
+                    "base": float(logs[frequent].sum() + logs[v.end]),
+                    "rare": rare, "rare_n": n.astype(np.int32),
+                }, ([] if held else _bigram_keys(places, v))
+
+        for chunk in _chunked(each(), 1_000_000):
+            facts = [f for f, _ in chunk]
+            yield rows_of(**{name: [f[name] for f in facts] for name in facts[0]})
+            trained = [keys for _, keys in chunk if len(keys)]
+            if trained:
+                keys, counts = np.unique(np.concatenate(trained), return_counts=True)
+                for at in range(0, len(keys), 250_000):
+                    yield rows_of(key=keys[at : at + 250_000], c=counts[at : at + 250_000])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(facts, schema)
+    return slim.mapInArrow(make, schema)
 
 
 def frequency_bucket(count: np.ndarray) -> np.ndarray:
@@ -253,7 +258,9 @@ def held_out_histogram(counts: DataFrame, v: Vocabulary) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(columns, ["b", "p2", "p1", "w"])
 
     cells = counts.mapInArrow(tally, "b long, p2 long, p1 long, w long")
-    rows = cells.groupBy("b", "p2", "p1").agg(F.sum("w").alias("w")).orderBy("b", "p2", "p1").collect()
+    tallied = stored(cells.groupBy("b", "p2", "p1").agg(F.sum("w").alias("w")), "lm-held-out")
+    rows = tallied.orderBy("b", "p2", "p1").collect()
+    discard(tallied)
     return np.array([tuple(r) for r in rows], np.float64).reshape(-1, 4)
 
 
@@ -294,9 +301,11 @@ def scored(docs: DataFrame, vocabulary_size: int = 100_000) -> DataFrame:
     """
     unigrams = stored(unigram_counts(docs), "lm-unigrams")
     v = vocabulary(unigrams, vocabulary_size)
-    weights = learned_weights(held_out_histogram(bigram_counts(docs, v), v), v.rare + 2)
-
-    facts = stored(document_facts(docs, v), "lm-documents")
+    both = stored(documents_and_counts(docs, v), "lm-documents-and-counts")
+    counts = both.where("key is not null").groupBy("key").agg(F.sum("c").cast("long").alias("c"))
+    weights = learned_weights(held_out_histogram(counts, v), v.rare + 2)
+    facts = stored(both.where("row is not null").drop("key", "c"), "lm-documents")
+    discard(both)
     rare = facts.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
     rare = rare.select("row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
     # Hashes were made negative by dropping their first bit; so must those they meet.
@@ -304,14 +313,14 @@ def scored(docs: DataFrame, vocabulary_size: int = 100_000) -> DataFrame:
     known = known.groupBy("word").agg(F.max("c").alias("c"))
     met = rare.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     billionths = lambda x: F.round(F.log10(x) * DIGITS).cast("long")
-    rare_parts = met.groupBy("row").agg(
+    rare_parts = stored(met.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * billionths((F.col("c") + 0.5) / v.base_total)).alias("rare_base"),
         F.sum(F.col("n") * billionths((F.col("c") + 0.5) / v.rare_total)).alias("rare_score"),
-    )
+    ), "lm-rare")
 
     counted = document_bigrams(docs, v).withColumn(
-        "c", F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).over(Window.partitionBy("key"))
+        "c", F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).over(Window.partitionBy("key"))
     )
 
     def mixture(batches):
@@ -321,14 +330,14 @@ def scored(docs: DataFrame, vocabulary_size: int = 100_000) -> DataFrame:
             context, seen = v.counts[key >> SHIFT], v.counts[key & ((1 << SHIFT) - 1)]
             mix = weights[frequency_bucket(context)]
             p = mix[:, 0] * c / np.maximum(context, 1) + mix[:, 1] * seen / max(v.total, 1) + mix[:, 2] * uniform
-            term = np.rint(np.log10(p) * DIGITS).astype(np.int64) * n
+            term = np.rint(np.log10(p) * DIGITS).astype(np.int64) * np.abs(n)
             rows, where = np.unique(batch.column("row").to_numpy(), return_inverse=True)
             total = np.zeros(len(rows), np.int64)
             np.add.at(total, where, term)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total)], ["row", "part"])
 
     parts = counted.select("row", "key", "n", "c").mapInArrow(mixture, "row long, part long")
-    bigram_parts = parts.groupBy("row").agg(F.sum("part").alias("bigram_score"))
+    bigram_parts = stored(parts.groupBy("row").agg(F.sum("part").alias("bigram_score")), "lm-bigrams")
     both = facts.drop("rare", "rare_n").join(rare_parts, "row", "left").join(bigram_parts, "row", "left")
     part = lambda c: F.coalesce(c, F.lit(0))
     return both.select(
