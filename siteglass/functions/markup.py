@@ -16,10 +16,15 @@ from .text import bind, decode_entities
 _INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TAG = rf"<[a-zA-Z/!?]{_INSIDE}>"
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_SKIP_ATTRS = r"""(?:[\s/]+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?"""
 _RAW_CUT = "\u0001"
 
 
+def _skip_attrs(wanted: str) -> str:
+    """Attributes before the one that ``wanted`` matches; possessive, so any number is safe."""
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+    return rf"""(?:(?![\s/]+{wanted})[\s/]++[^\s=>"'/]++(?:\s*+=\s*+{value})?+)*+"""
+
+
 def strip_comments(h: Column) -> Column:
     cut = F.regexp_replace(h, r"(?s)<!--.*?(?:-->|\z)", "")
     return F.when(F.contains(h, F.lit("<!--")), cut).otherwise(h)
@@ -51,14 +56,14 @@ def attr(tag: Column, name: str, decode: bool = True) -> Column:
     Keyword values hold no character references and need no decoding.
     """
     raw = F.regexp_extract(
-        tag, rf"(?is)^<[a-z][^\s/>]*{_SKIP_ATTRS}[\s/]+{name}\s*=\s*{_VALUE}", 1
+        tag, rf"(?is)^<[a-z][^\s/>]*+{_skip_attrs(rf'{name}\s*=')}[\s/]+{name}\s*=\s*{_VALUE}", 1
     )
     value = F.regexp_replace(raw, r"""^["']|["']\z""", "")
     return bind(value, decode_entities) if decode else value
 
 
 def has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?is)^<[a-z][^\s/>]*{_SKIP_ATTRS}[\s/]+{name}[\s=/>]")
+    return tag.rlike(rf"(?is)^<[a-z][^\s/>]*+{_skip_attrs(rf'{name}[\s=/>]')}[\s/]+{name}[\s=/>]")
 
 
 def strip_tags(h: Column) -> Column:

@@ -145,3 +145,18 @@ def test_counts_agree_with_a_tokenizer(spark, sf_dir):
         walker.feed(row["html"])
         assert {t: row[c] for t, c in columns.items()} == {t: walker.counts.get(t, 0) for t in columns}
         assert row["images_without_alt"] == walker.no_alt
+
+
+@pytest.mark.parametrize("n", [200, 1_000, 100_000])
+def test_attributes_of_a_tag_with_very_many(spark, n):
+    from siteglass.functions import markup
+
+    many = " ".join(f'a{i}="v>{i}"' for i in range(n))
+    tag = f"<a {many} b c='1' href=/x rel=\"nofollow\" checked>"
+    row = spark.createDataFrame([(tag,)], "tag string").select(
+        markup.attr(F.col("tag"), "href").alias("href"),
+        markup.attr(F.col("tag"), "src").alias("src"),
+        markup.has_attr(F.col("tag"), "checked").alias("checked"),
+        markup.has_attr(F.col("tag"), "hidden").alias("hidden"),
+    )
+    assert tuple(row.first()) == ("/x", "", True, False)
