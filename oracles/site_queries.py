@@ -32,6 +32,23 @@ ORACLES["orphan_pages"] = build(
 ORACLES["page_link_counts"] = build(
     """select site_key, page_id as src_id, cast(len(targets) as bigint) as internal_links, cast(len(list_distinct(targets)) as bigint) as distinct_targets
     from s_sig where len(targets) > 0""", "s_sig")
+cte("link_pages", """select site_key, page_id, page_seq, bool_or(is_homepage) as home, list({'pos': pos, 'url': url} order by pos) as links,
+    row_number() over (partition by site_key order by page_seq) as k from graph_links group by 1, 2, 3""", "graph_links")
+# Page after page of a site: the first three links not picked before, then two more for the home page.
+cte("link_walk", """with recursive walk as (
+      select distinct site_key, cast(0 as bigint) as k, cast(null as bigint) as page_id, cast(null as bigint) as page_seq, cast([] as varchar[]) as seen,
+        cast([] as struct(pos integer, url varchar)[]) as r1, cast([] as struct(pos integer, url varchar)[]) as r2 from link_pages
+      union all
+      select site_key, k, page_id, page_seq, list_concat(seen, list_transform(list_concat(r1, r2), lambda y: y.url)), r1, r2 from (
+        select *, case when home then list_filter(fresh, lambda x: not list_contains(list_transform(r1, lambda y: y.url), x.url))[1:2] else fresh[1:0] end as r2 from (
+          select *, fresh[1:3] as r1 from (
+            select p.*, w.seen, list_filter(p.links, lambda x: not list_contains(w.seen, x.url)) as fresh
+            from walk w join link_pages p on p.site_key = w.site_key and p.k = w.k + 1))))
+    select * from walk where k > 0""", "link_pages")
+ORACLES["sample_links"] = build(
+    """select site_key, page_id, page_seq, cast(r.pos as bigint) as pos, r.url as url, round from (
+      select site_key, page_id, page_seq, cast(1 as bigint) as round, unnest(r1) as r from link_walk
+      union all select site_key, page_id, page_seq, cast(2 as bigint), unnest(r2) from link_walk)""", "link_walk")
 cte("first_links", """select site_key, url, page_id, page_seq, cast(pos as bigint) as pos from graph_links
     qualify row_number() over (partition by site_key, url order by page_seq, pos) = 1""", "graph_links")
 cte("checked", """select f.*, case when s.status is null or s.status >= 400 then 'broken' when s.status >= 300 then 'redirect' else 'ok' end as kind
@@ -132,25 +149,26 @@ def _found(children: int | None, per_sitemap: int | None) -> str:
 
 
 def _candidates(found: str) -> str:
-    return f"""select site_key, base_url, url, min(pos) as pos, min(root) as root from (
-      select site_key, base_url, url, ((root + 1) * 9007199254740992 + p0 * 137438953472 + p1 * 2097152 + pos)::bigint as pos, root from {found}
-      union all select site_key, base_url, base_url, 0, -1 from sites
-      union all select site_key, base_url, concat({rx('base_url', '^(https?://[^/]+)')}, '/'), 1, -1 from sites) group by 1, 2, 3"""
+    return f"""select site_key, base_url, url, root::bigint as root, p0::bigint as p0, p1::bigint as p1, pos::bigint as pos from (
+      select site_key, base_url, url, root, p0, p1, pos from {found}
+      union all select site_key, base_url, base_url, -1, -1, -1, 0 from sites
+      union all select site_key, base_url, concat({rx('base_url', '^(https?://[^/]+)')}, '/'), -1, -1, -1, 1 from sites)
+      qualify row_number() over (partition by site_key, url order by root, p0, p1, pos) = 1"""
 
 
 cte("found", _found(None, None), "roots", "locs")
 cte("found_capped", _found(1, 3), "roots", "locs")
 cte("candidates", _candidates("found"), "found", "sites")
 cte("candidates_capped", _candidates("found_capped"), "found_capped", "sites")
-ORACLES["discover_urls"] = build("select site_key, url, pos from candidates", "candidates")
+ORACLES["discover_urls"] = build("select site_key, url, root, p0, p1, pos from candidates", "candidates")
 ORACLES["discover_urls_capped"] = build(
-    """select site_key, url, pos from candidates_capped c where root < 0 or
+    """select site_key, url, root, p0, p1, pos from candidates_capped c where root < 0 or
     (select count(*) from candidates_capped b where b.site_key = c.site_key and b.root < c.root) < 5""", "candidates_capped")
 ORACLES["sitemap_found"] = build(
     "select site_key, site_key in (select site_key from found) as sitemap_found from sites", "found", "sites")
 _upath = rx("url", "^[a-z]+://[^/?#]*([^?#]*)")
 cte("crawl_ranked", f"""select site_key, url, row_number() over (partition by site_key order by case when {_host_of('url')} = site_key then 0 else 1 end,
-    len(list_filter(string_split({_upath}, '/'), lambda s: s <> '')), greatest(length({_upath}), 1), pos) as page_seq from candidates""", "candidates")
+    len(list_filter(string_split({_upath}, '/'), lambda s: s <> '')), greatest(length({_upath}), 1), root, p0, p1, pos) as page_seq from candidates""", "candidates")
 ORACLES["crawl_rank"] = build("select * from crawl_ranked", "crawl_ranked")
 ORACLES["cap_pages"] = build("select * from crawl_ranked where page_seq <= 3", "crawl_ranked")
 

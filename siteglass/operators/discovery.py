@@ -14,7 +14,7 @@ from .ranking import id_bucket, ranked
 # below apply them only when asked to.
 CRAWL_PAGES = 15
 CRAWL_CAPS = {"per_sitemap": 45, "children": 8, "enough": 30}
-MAX_INDEX_DEPTH = 2
+INDEX_DEPTH = 2
 
 
 def sitemap_roots(robots: DataFrame, sites: DataFrame) -> DataFrame:
@@ -42,22 +42,26 @@ def _locations(docs: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(
-    roots: DataFrame, docs: DataFrame, per_sitemap: int | None = None, children: int | None = None
+    roots: DataFrame,
+    docs: DataFrame,
+    per_sitemap: int | None = None,
+    children: int | None = None,
+    max_depth: int = INDEX_DEPTH,
 ) -> DataFrame:
-    """Crawlable page URLs of all sitemaps, following indexes two levels down.
+    """Crawlable page URLs of all sitemaps, following indexes ``max_depth`` levels down.
 
-    The order is depth-first: root, child position, grandchild position, entry.
+    The order is depth-first: root, position in each index (``p0`` on), entry.
     """
     locs = _locations(docs)
-    path = ["p0", "p1"]
+    path = [f"p{i}" for i in range(max_depth)]
     level = roots.withColumns({p: F.lit(0) for p in path})
     pages: DataFrame | None = None
-    for depth in range(MAX_INDEX_DEPTH + 1):
+    for depth in range(max_depth + 1):
         entries = level.join(locs, ["site_key", "sitemap_url"])
         found = entries.where(~F.col("is_index") & is_crawlable(F.col("loc"), F.col("base_url")))
         found = found.select("site_key", "base_url", "root", *path, "pos", F.col("loc").alias("url"))
         pages = found if pages is None else pages.unionByName(found)
-        if depth == MAX_INDEX_DEPTH:
+        if depth == max_depth:
             break
         nested = entries.where(F.col("is_index") & F.col("loc").rlike(r"(?i)\.xml|sitemap"))
         if children is not None:
@@ -80,34 +84,35 @@ def discover_urls(
     per_sitemap: int | None = None,
     children: int | None = None,
     enough: int | None = None,
+    max_depth: int = INDEX_DEPTH,
 ) -> DataFrame:
     """Candidate pages ``(site_key, base_url, url, pos)`` of each site, once each.
 
+    ``pos`` is a struct that sorts like the crawl: root, position in each index, entry.
+
     The base URL and the root page come first, then sitemap pages. With
     ``enough`` set, sitemaps after the one that reaches it are not read.
     """
-    found = sitemap_urls(sitemap_roots(robots, sites), docs, per_sitemap, children)
-    # Position inside the site: root, then depth-first order. Entries beyond 2^21
-    # of one sitemap would need a wider key.
-    position = (
-        F.shiftleft((F.col("root") + 1).cast("long"), 53)
-        + F.shiftleft(F.col("p0").cast("long"), 37)
-        + F.shiftleft(F.col("p1").cast("long"), 21)
-        + F.col("pos")
-    )
+    found = sitemap_urls(sitemap_roots(robots, sites), docs, per_sitemap, children, max_depth)
+    path = [f"p{i}" for i in range(max_depth)]
+
+    def placed(df: DataFrame) -> DataFrame:
+        position = F.struct(*[F.col(c).cast("long").alias(c) for c in ("root", *path, "pos")])
+        return df.select("site_key", "base_url", "url", position.alias("pos"))
+
     own = sites.select(
         "site_key",
         "base_url",
         F.posexplode(
             F.array("base_url", F.concat(origin(F.col("base_url")), F.lit("/")))
         ).alias("pos", "url"),
-    ).withColumn("root", F.lit(-1))
-    listed = found.withColumn("pos", position).select("site_key", "base_url", "pos", "url", "root")
-    both = own.select("site_key", "base_url", F.col("pos").cast("long").alias("pos"), "url", "root")
+    ).withColumns({c: F.lit(-1) for c in ("root", *path)})
     distinct = (
-        both.unionByName(listed)
+        placed(own)
+        .unionByName(placed(found))
         .groupBy("site_key", "base_url", "url")
-        .agg(F.min("pos").alias("pos"), F.min("root").alias("root"))
+        .agg(F.min("pos").alias("pos"))
+        .withColumn("root", F.col("pos.root"))
     )
     if enough is None:
         return distinct.drop("root")
@@ -157,10 +162,11 @@ def crawl_rank(candidates: DataFrame) -> DataFrame:
     """Crawl order of every candidate: own host, depth, path length, position.
 
     The rank is the audit's ``page_seq``. ``candidates`` holds each URL of a site
-    once, with its position ``pos``.
+    once, with its position ``pos`` as ``discover_urls`` gives it.
     """
     df = _with_order(candidates)
-    buckets = [*_crawl_order(), id_bucket(F.col("pos"), 21)]
+    *sitemap, entry = [F.col(f"pos.{c}") for c in df.select("pos.*").columns]
+    buckets = [*_crawl_order(), *sitemap, id_bucket(entry)]
     return ranked(df, ["site_key"], buckets, [*_crawl_order(), F.col("pos")], "page_seq")
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_homepage_path, normalize_page_url
-from .grouping import first_rows
 from .rule_texts import SITE_TEXTS
 from .rules import ISSUE_COLUMNS, STAGE_GRAPH, STAGE_PAGE, Rule, apply_rules
 from .skew import join_hot
 
-# Links checked per page, more for the home page, pages per site.
-SAMPLE_LINKS, SAMPLE_HOME_EXTRA, SAMPLE_PAGES = 25, 15, 15
+# Links checked per page, and more for the home page.
+SAMPLE_LINKS, SAMPLE_HOME_EXTRA = 25, 15
 
 
 def page_urls(signals: DataFrame) -> DataFrame:
@@ -140,39 +141,48 @@ def exclude_seen(links: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def sample_links(
-    links: DataFrame,
-    n: int = SAMPLE_LINKS,
-    home_extra: int = SAMPLE_HOME_EXTRA,
-    max_pages: int = SAMPLE_PAGES,
+    links: DataFrame, n: int = SAMPLE_LINKS, home_extra: int = SAMPLE_HOME_EXTRA
 ) -> DataFrame:
-    """The capped sample of a live crawl: per page the first ``n`` unseen links.
+    """The sample of a live crawl: per page the first ``n`` links not picked before.
 
-    The home page gets a second round. Links beyond a page's cap stay unseen for
-    later pages, which makes the choice a fold over the pages of a site. A live
-    crawl has at most ``max_pages`` pages, so earlier pages can have used up at
-    most ``max_pages * (n + home_extra)`` links; a page's choice therefore lies in
-    its first few hundred links and the fold works on a bounded group.
+    The home page gets a second round. Links that a page leaves out stay open to later
+    pages, which makes the choice a fold over the pages of a site. Every page takes part:
+    the rows of a site pass in order through one task, which keeps nothing of them but
+    the links picked so far, at most ``n`` a page.
     """
-    reach = max_pages * (n + home_extra)
-    first_pages = links.groupBy("site_key", "page_id", "page_seq").agg(F.count(F.lit(1)).alias("n"))
-    first_pages = first_rows(first_pages, ["site_key"], [F.col("page_seq")], max_pages)
-    slim = first_rows(links, ["site_key", "page_id"], [F.col("pos")], reach).drop("rank")
-    bounded = slim.join(first_pages.select("site_key", "page_id"), ["site_key", "page_id"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site = page = None
         seen: set[str] = set()
-        picked: list[pd.DataFrame] = []
-        for _, page in pdf.sort_values(["page_seq", "pos"]).groupby("page_seq", sort=True):
-            rounds = (n, home_extra) if bool(page["is_homepage"].iloc[0]) else (n,)
-            for number, cap in enumerate(rounds, start=1):
-                fresh = page[~page["url"].isin(seen)].head(cap)
-                seen.update(fresh["url"])
-                picked.append(fresh.assign(round=number))
-        out = pd.concat(picked)
-        return out[["site_key", "page_id", "page_seq", "pos", "url", "round"]]
+        mine: tuple[set[str], set[str]] = (set(), set())
+        left = [0, 0]
+        for pdf in batches:
+            rounds = []
+            for s, p, home, url in zip(pdf["site_key"], pdf["page_seq"], pdf["is_homepage"], pdf["url"]):
+                if s != site or p != page:
+                    if s == site:
+                        seen.update(*mine)
+                    else:
+                        seen = set()
+                    site, page, mine = s, p, (set(), set())
+                    left = [n, home_extra if home else 0]
+                taken = 0
+                if url not in seen:
+                    if left[0]:
+                        taken = 1
+                    elif left[1] and url not in mine[0]:
+                        taken = 2
+                if taken:
+                    left[taken - 1] -= 1
+                    mine[taken - 1].add(url)
+                rounds.append(taken)
+            out = pdf.assign(round=rounds)
+            yield out.loc[out["round"] > 0, ["site_key", "page_id", "page_seq", "pos", "url", "round"]]
 
     schema = "site_key string, page_id long, page_seq long, pos int, url string, round int"
-    return bounded.groupBy("site_key").applyInPandas(fold, schema)
+    slim = links.select("site_key", "page_id", "page_seq", "is_homepage", "pos", "url")
+    ordered = slim.repartition("site_key").sortWithinPartitions("site_key", "page_seq", "pos")
+    return ordered.mapInPandas(fold, schema)
 
 
 def link_status(links: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import id_bucket, running_total
-from .skew import join_hot
 
 # Event names of the payment provider and payment states.
 CAPTURE_EVENTS = ("payment.captured", "payment.authorized")
@@ -52,7 +51,7 @@ def recent_payments(
 def payments_with_audit_url(payments: DataFrame, audits: DataFrame) -> DataFrame:
     """Payments with the URL of their audit, null where there is none."""
     urls = audits.select("audit_id", F.col("url").alias("audit_url"))
-    return join_hot(payments, urls, ["audit_id"], F.col("payment_id"), "left")
+    return payments.join(urls, "audit_id", "left")
 
 
 def event_kind(event: Column) -> Column:
@@ -99,7 +98,7 @@ def payment_ledger(events: DataFrame, orders: DataFrame) -> DataFrame:
         .groupBy("order_id", "stretch")
         .agg(F.min("seq").alias("capture_seq"))
     )
-    joined = join_hot(staged, captures, ["order_id", "stretch"], F.col("seq"), "left")
+    joined = staged.join(captures, ["order_id", "stretch"], "left")
     kind, seq = F.col("kind"), F.col("seq")
     before_capture = F.coalesce(seq < F.col("capture_seq"), F.lit(True))
     applied = (
@@ -149,5 +148,5 @@ def checkout_confirm(confirmations: DataFrame) -> DataFrame:
         .when(F.col("seq") == F.col("owner_seq"), "recorded")
         .otherwise("repeated")
     )
-    joined = join_hot(confirmations, owners, ["payment_id"], F.col("seq"))
+    joined = confirmations.join(owners, "payment_id")
     return joined.select("seq", "order_id", "payment_id", outcome.alias("outcome"))

@@ -14,7 +14,6 @@ from ..functions.text import to_fixed
 from .grouping import first_rows
 from .ranking import id_bucket, ranked
 from .rules_external import whole
-from .skew import join_hot
 
 
 def attach_page_id(issues: DataFrame, pages: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def attach_page_id(issues: DataFrame, pages: DataFrame) -> DataFrame:
         F.max_by("page_id", "page_seq").alias("page_id")
     )
     plain = issues.drop("page_id")
-    return join_hot(plain, by_url, ["audit_id", "affected_url"], F.col("issue_id"), "left")
+    return plain.join(by_url, ["audit_id", "affected_url"], "left")
 
 
 def issues_with_page(issues: DataFrame, pages: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def issues_with_page(issues: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("h1_count").alias("page_h1_count"),
         F.col("word_count").alias("page_word_count"),
     )
-    return join_hot(issues, signals, ["audit_id", "page_id"], F.col("issue_id"), "left")
+    return issues.join(signals, ["audit_id", "page_id"], "left")
 
 
 def is_serious(severity: Column) -> Column:

@@ -27,7 +27,6 @@ INSTAGRAM = r"""(?i)instagram\.com/[^"'\s<>]+"""
 YOUTUBE = r"(?i)youtube\.com/(?:c|channel|user|@)"
 SPA_WORDS = 80
 SPA_SCRIPTS = 5
-SNIFF_CHARS = 4000
 # Security headers kept as booleans, with the response header each one needs.
 SECURITY_HEADERS = {
     "hsts": "strict-transport-security",
@@ -42,9 +41,8 @@ _TAGS = "meta|link|html|img|iframe|script|h1|h2|h3"
 
 
 def looks_like_html(html: Column) -> Column:
-    """The content sniff of the crawl: a document start within its first characters."""
-    head = F.lower(F.substring(html, 1, SNIFF_CHARS))
-    return F.contains(head, F.lit("<html")) | F.contains(head, F.lit("<!doctype html"))
+    """Whether a stored answer has a document start, wherever it stands; false for null."""
+    return F.coalesce(html.rlike("(?i)<html|<!doctype html"), F.lit(False))
 
 
 def _count(items: Column, test) -> Column:

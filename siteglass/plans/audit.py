@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ class AuditResult:
     checks: DataFrame
     scores: DataFrame
     coverage: DataFrame
+    dropped: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -181,10 +182,14 @@ def audit_signals(signals: DataFrame, inputs: AuditInputs) -> AuditResult:
 def run_audit(inputs: AuditInputs, signals_path: str) -> AuditResult:
     """Extract signals once into ``signals_path`` and audit from there.
 
-    Answers that do not start like an HTML document are no pages. The HTML is read in a single narrow pass and never shuffled; a lost executor
+    Answers without a document start are no pages: ``dropped`` lists them with the
+    reason. The HTML is read in a single narrow pass and never shuffled; a lost executor
     only repeats its own files.
     """
     spark = inputs.pages.sparkSession
-    documents = inputs.pages.where(looks_like_html(F.col("html")))
+    is_page = looks_like_html(F.col("html"))
+    documents = inputs.pages.where(is_page)
+    reason = F.when(F.col("html").isNull(), "no_answer").otherwise("not_html")
+    dropped = inputs.pages.where(~is_page).select("page_id", "url", reason.alias("reason"))
     extract_signals(documents).write.mode("overwrite").parquet(signals_path)
-    return audit_signals(spark.read.parquet(signals_path), inputs)
+    return replace(audit_signals(spark.read.parquet(signals_path), inputs), dropped=dropped)

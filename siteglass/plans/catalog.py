@@ -472,14 +472,14 @@ def _discovery(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
 
 @query
 def discover_urls(spark, d):
-    return discovery.discover_urls(*_discovery(spark, d)).select("site_key", "url", "pos")
+    return discovery.discover_urls(*_discovery(spark, d)).select("site_key", "url", "pos.*")
 
 
 @query
 def discover_urls_capped(spark, d):
     """The crawl's own limits, lowered so that they take effect on small sitemaps."""
     found = discovery.discover_urls(*_discovery(spark, d), per_sitemap=3, children=1, enough=5)
-    return found.select("site_key", "url", "pos")
+    return found.select("site_key", "url", "pos.*")
 
 
 @query

@@ -50,9 +50,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def spread_small(df: DataFrame) -> DataFrame:
     """Give a small scan one partition per core.
 
-    HTML is expensive per byte, so a table of a few files would leave most cores
-    idle. Inputs that already fill the cluster are returned as they are: their HTML
-    is never shuffled. ``df`` must be a plain scan.
+    Only for the supplied test tables, which are one file of one row group each. Readers
+    of stored pages never call it: large tables are split by their files and row groups.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:

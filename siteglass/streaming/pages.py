@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules_page import page_issues
-from ..operators.signals import extract_signals
+from ..operators.signals import extract_signals, looks_like_html
 from ..operators.sites import crawl_site_issues, site_facts
 from .runs import run_append, work_folder
 
 
 def page_issue_stream(pages: DataFrame) -> DataFrame:
     """Findings of each new page (output mode ``append``)."""
-    return page_issues(extract_signals(pages))
+    return page_issues(extract_signals(pages.where(looks_like_html(F.col("html")))))
 
 
 def run_page_issues(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def run_site_issues(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     def save(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        extract_signals(batch).write.mode("overwrite").parquet(f"{folder}/signals/batch_id={batch_id}")
+        documents = batch.where(looks_like_html(F.col("html")))
+        extract_signals(documents).write.mode("overwrite").parquet(f"{folder}/signals/batch_id={batch_id}")
         stored = session.read.parquet(f"{folder}/signals")
         # A repeated batch must not see later ones.
         stored = stored.where(F.col("batch_id") <= batch_id)

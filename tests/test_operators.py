@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siteglass.operators import grouping, links, payments, ranking, scoring
+from siteglass.operators import discovery, grouping, links, payments, ranking, scoring, signals
 from siteglass.operators.rules import ISSUE_COLUMNS, Rule, apply_rules
 from siteglass.operators.rule_texts import RuleText
 from siteglass.plans.audit import AuditInputs, audit_signals, run_audit
@@ -37,7 +37,7 @@ def test_sampled_links_follow_the_page_by_page_fold(spark):
     schema = "site_key string, page_id long, page_seq long, is_homepage boolean, pos int, url string"
     # A page lists each link once.
     first = {(r[0], r[1], r[5]): r for r in reversed(rows)}.values()
-    got = links.sample_links(spark.createDataFrame(list(first), schema), 2, 1, 5).collect()
+    got = links.sample_links(spark.createDataFrame(list(first), schema), 2, 1).collect()
     want = set()
     for site in ("a", "b"):
         seen: set[str] = set()
@@ -162,3 +162,24 @@ def test_robots_and_sitemap_files(spark, tmp_path):
     assert robots.asDict() == {"site_key": "ex.com", "robots_txt": "User-agent: *\nSitemap: x"}
     doc = tables.read_sitemaps(spark, str(tmp_path / "maps")).first()
     assert (doc["site_key"], doc["sitemap_url"], doc["body"]) == ("ex.com", "https://ex.com/sitemap.xml", "<urlset/>")
+
+
+def test_many_sitemap_lines_keep_the_base_url_first(spark):
+    robots_txt = "\n".join(f"Sitemap: https://a.example/{i}.xml" for i in range(1100))
+    robots = spark.createDataFrame([("a.example", robots_txt)], "site_key string, robots_txt string")
+    sites = spark.createDataFrame([("a.example", "https://a.example/x")], "site_key string, base_url string")
+    body = "<urlset><loc>https://a.example/p%d</loc></urlset>"
+    docs = spark.createDataFrame(
+        [("a.example", f"https://a.example/{i}.xml", body % i) for i in (0, 1023, 1099)],
+        "site_key string, sitemap_url string, body string",
+    )
+    found = discovery.discover_urls(robots, docs, sites).orderBy("pos").collect()
+    want = ["https://a.example/x", "https://a.example/", *(f"https://a.example/p{i}" for i in (0, 1023, 1099))]
+    assert [r["url"] for r in found] == want
+
+
+def test_a_document_start_counts_wherever_it_stands(spark):
+    texts = ["<!--" + "x" * 10_000 + "--><HTML>", "plain", None]
+    df = spark.createDataFrame([(t,) for t in texts], "html string")
+    got = [r[0] for r in df.select(signals.looks_like_html(F.col("html"))).collect()]
+    assert got == [True, False, False]
