@@ -6,6 +6,7 @@ import collections
 import math
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siteglass.llm import (
-    jaccard, licenses, mixing, neighbours, ngram_lm, packing, quality, revisits, token_counts, url_filter,
+    jaccard, licenses, mixing, neighbours, ngram_lm, packing, quality, queries, revisits, token_counts, url_filter,
 )
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -77,8 +78,7 @@ def _sets(rows):
     return out
 
 
-def test_jaccard_components(docs):
-    sets = _sets(docs.select("doc_id", "text").collect())
+def _components(sets):
     root = {i: i for i in sets}
 
     def find(i):
@@ -92,8 +92,47 @@ def test_jaccard_components(docs):
             if both and 100 * both >= 80 * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_jaccard_components(docs):
+    sets = _sets(docs.select("doc_id", "text").collect())
+    root = _components(sets)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
-    assert found == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert found == {i: (len(s), root[i]) for i, s in sets.items()}
+
+
+def test_jaccard_join_equals_its_sql(spark, sf_dir, duck):
+    ours = queries.op2_jaccard_join(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()
+    theirs = duck.execute(queries.ORACLES["op2_jaccard_join"]).fetchall()
+    assert sorted(map(tuple, ours)) == sorted(theirs)
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, docs, sf_dir):
+    """What each stage must leave, found on the driver, against the packed pieces."""
+    kept = {r["doc_id"]: r["text"] for r in docs.join(quality.judged(docs).where("kept"), "doc_id", "left_semi").collect()}
+    root = _components(_sets(kept.items()))
+    single = [i for i in kept if root[i] == i]
+    assert len(single) < len(kept) < docs.count()
+    mixed = mixing.mixed(docs.where(F.col("doc_id").isin(single))).collect()
+    library = Tokenizer.from_file(PATH)
+    want = collections.Counter()
+    for r in mixed:
+        ids = np.array([*library.encode(kept[r["doc_id"]] or "", add_special_tokens=False).ids, 1], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start : start + 4096]
+            want[r["doc_id"], piece, start, len(part), zlib.crc32(part.tobytes())] += r["taken"] // max(r["size"], 1)
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    keys = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert collections.Counter(tuple(r[k] for k in keys) for r in rows) == +want
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in places.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
+        assert sum(n for _, n in pieces) <= 4096
+
 
 
 def test_parity_keys_never_miss():
