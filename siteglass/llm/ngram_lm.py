@@ -9,8 +9,10 @@ its own occurrence.
 The model's vocabulary is the most frequent training words (a parameter), the end of a
 text, and one class for all rarer words, inside which words have their own smoothed
 unigram distribution. Unigram counts are exact for all words; bigram counts are exact over the
-vocabulary. Both grow with the corpus and stay distributed; only the vocabulary, limited by
-its parameter, goes to every task, and only histograms of fixed size reach the driver.
+vocabulary. Both grow with the corpus and stay distributed; only the vocabulary and the most
+frequent bigrams, each limited by its parameter, go through the driver to every task. Bigrams
+among these are scored where a text is read, so that none stands in a large share of the
+rows that meet the counts of all others in a join.
 """
 
 from __future__ import annotations
@@ -108,11 +110,28 @@ class Vocabulary:
         return self.total + 0.5 * (self.distinct + 1)
 
 
+def at_least(counts: DataFrame, size: int, more: bool) -> float:
+    """A bound on ``c`` that leaves about ``size`` rows: never fewer if ``more``, else never more."""
+    step = F.floor(F.log2("c") * STEPS).alias("step")
+    steps = counts.groupBy(step).count().orderBy(F.desc("step")).collect()  # some hundred rows at most
+    kept, bound = 0, float("inf")
+    for row in steps:
+        kept += row["count"]
+        if kept > size and not more:
+            break
+        bound = 2.0 ** (row["step"] / STEPS)
+        if kept >= size:
+            break
+    return bound * (1 - 1e-9)
+
+
 def vocabulary(unigrams: DataFrame, size: int) -> Vocabulary:
     total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = unigrams.where(F.col("word") == END).first()
     n_ends = ends["c"] if ends else 0
-    top = unigrams.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(size).collect()
+    words = unigrams.where(F.col("word") != END)
+    words = words.where(F.col("c") >= at_least(words, size, more=True))
+    top = words.orderBy(F.desc("c"), "word").limit(size).collect()
     counts = [r["c"] for r in top]
     rare = total - n_ends - sum(counts)
     return Vocabulary(
@@ -165,23 +184,51 @@ def _chunked(rows, most: int):
         yield chunk
 
 
-def document_bigrams(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(row, key, n): the pairs of every document and their counts there, negative if held out."""
+def pair_terms(key: np.ndarray, c: np.ndarray, v: Vocabulary, weights: np.ndarray) -> np.ndarray:
+    """Score of one occurrence of each pair, in whole billionths."""
+    context, seen = v.counts[key >> SHIFT], v.counts[key & ((1 << SHIFT) - 1)]
+    mix = weights[frequency_bucket(context)]
+    p = mix[:, 0] * c / np.maximum(context, 1) + mix[:, 1] * seen / max(v.total, 1) + mix[:, 2] / (v.rare + 2)
+    return np.rint(np.log10(p) * DIGITS).astype(np.int64)
+
+
+def frequent_pairs(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and counts of at most ``size`` pairs, the most frequent ones."""
+    found = counts.where(F.col("c") >= at_least(counts, size, more=False)).toArrow()
+    key, c = (found.column(x).to_numpy() for x in ("key", "c"))
+    order = np.argsort(key)
+    return key[order], c[order]
+
+
+def document_bigrams(
+    docs: DataFrame, v: Vocabulary, frequent: tuple[np.ndarray, np.ndarray], weights: np.ndarray
+) -> DataFrame:
+    """Two kinds of rows (row, key, n, part) from one pass over the texts.
+
+    With a ``key`` of 0 or more: a pair that isn't frequent and its count in the document. With a
+    negative one, of no pair: ``part``, the summed score of the document's frequent pairs.
+    """
+    known = np.append(frequent[0], np.iinfo(np.int64).max)
+    terms = np.append(pair_terms(*frequent, v, weights), 0)
 
     def pairs(batches):
         def each():
-            for row, doc_id, places in _documents(batches, v):
-                keys, n = np.unique(_bigram_keys(places, v), return_counts=True)
-                sign = -1 if remainder(doc_id) == 1 else 1
-                yield np.full(len(keys), row), (sign * n).astype(np.int32), keys
+            for row, _, places in _documents(batches, v):
+                keys = _bigram_keys(places, v)
+                at = np.searchsorted(known, keys)
+                other = known[at] != keys
+                rest, n = np.unique(keys[other], return_counts=True)
+                part = terms[at[~other]].sum()
+                yield (
+                    np.full(len(rest) + 1, row), np.append(n, 0).astype(np.int32),
+                    np.append(np.zeros(len(rest), np.int64), part), np.append(rest, -1 - row),
+                )
 
         for chunk in _chunked(each(), 250_000):
-            row, n, key = (np.concatenate(x) for x in zip(*chunk))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(key), pa.array(n)], ["row", "key", "n"]
-            )
+            row, n, part, key = (pa.array(np.concatenate(x)) for x in zip(*chunk))
+            yield pa.RecordBatch.from_arrays([row, key, n, part], ["row", "key", "n", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(pairs, "row long, key long, n int")
+    return docs.select("doc_id", "text").mapInArrow(pairs, "row long, key long, n int, part long")
 
 
 def documents_and_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -290,19 +337,21 @@ def learned_weights(histogram: np.ndarray, n_classes: int, rounds: int = 60) ->
     return np.stack([maximised(rows) if len(rows) else pooled for rows in by_bucket])
 
 
-def scored(docs: DataFrame, vocabulary_size: int = 100_000) -> DataFrame:
+def scored(docs: DataFrame, vocabulary_size: int = 100_000, frequent_size: int = 300_000) -> DataFrame:
     """Base and model score of every document, trained on those that aren't held out.
 
     Output: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score`` (log10). A null or empty text is the end token alone. Repeated rows count and
     are scored each; rows are told apart by their place in the input. An empty table
     gives no rows; without training documents every word is unknown and classes are
-    equally likely. Further columns are left out.
+    equally likely. Further columns are left out. ``frequent_size`` bigrams at most are scored
+    without a join; it changes no result.
     """
     unigrams = stored(unigram_counts(docs), "lm-unigrams")
     v = vocabulary(unigrams, vocabulary_size)
     both = stored(documents_and_counts(docs, v), "lm-documents-and-counts")
     counts = both.where("key is not null").groupBy("key").agg(F.sum("c").cast("long").alias("c"))
+    counts = stored(counts, "lm-pairs")
     weights = learned_weights(held_out_histogram(counts, v), v.rare + 2)
     facts = stored(both.where("row is not null").drop("key", "c"), "lm-documents")
     discard(both)
@@ -319,24 +368,22 @@ def scored(docs: DataFrame, vocabulary_size: int = 100_000) -> DataFrame:
         F.sum(F.col("n") * billionths((F.col("c") + 0.5) / v.rare_total)).alias("rare_score"),
     ), "lm-rare")
 
-    counted = document_bigrams(docs, v).withColumn(
-        "c", F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).over(Window.partitionBy("key"))
-    )
+    frequent = frequent_pairs(counts, frequent_size)
+    counted = document_bigrams(docs, v, frequent, weights).join(counts, "key", "left")
 
     def mixture(batches):
-        uniform = 1 / (v.rare + 2)
         for batch in batches:
-            key, c, n = (batch.column(x).to_numpy() for x in ("key", "c", "n"))
-            context, seen = v.counts[key >> SHIFT], v.counts[key & ((1 << SHIFT) - 1)]
-            mix = weights[frequency_bucket(context)]
-            p = mix[:, 0] * c / np.maximum(context, 1) + mix[:, 1] * seen / max(v.total, 1) + mix[:, 2] * uniform
-            term = np.rint(np.log10(p) * DIGITS).astype(np.int64) * np.abs(n)
+            key, c, n, part = (batch.column(x).to_numpy() for x in ("key", "c", "n", "part"))
+            pair = key >= 0
+            term = part.copy()
+            term[pair] = pair_terms(key[pair], c[pair], v, weights) * n[pair]
             rows, where = np.unique(batch.column("row").to_numpy(), return_inverse=True)
             total = np.zeros(len(rows), np.int64)
             np.add.at(total, where, term)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total)], ["row", "part"])
 
-    parts = counted.select("row", "key", "n", "c").mapInArrow(mixture, "row long, part long")
+    slim = counted.select("row", "key", "n", F.coalesce("c", F.lit(0)).alias("c"), "part")
+    parts = slim.mapInArrow(mixture, "row long, part long")
     bigram_parts = stored(parts.groupBy("row").agg(F.sum("part").alias("bigram_score")), "lm-bigrams")
     both = facts.drop("rare", "rare_n").join(rare_parts, "row", "left").join(bigram_parts, "row", "left")
     part = lambda c: F.coalesce(c, F.lit(0))

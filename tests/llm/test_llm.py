@@ -202,6 +202,11 @@ def test_lm_base_scores(docs):
     assert held[1] > held[0]
 
 
+def test_lm_scores_do_not_depend_on_frequent_pairs(odd):
+    runs = [sorted(map(str, ngram_lm.scored(odd, vocabulary_size=6, frequent_size=n).collect())) for n in (0, 3, 1000)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_neighbour_recall(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16))
