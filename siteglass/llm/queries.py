@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, licenses, mixing, neighbours, ngram_lm, packing, quality, revisits, token_counts, url_filter
+from .oracle_sql import ORACLES  # noqa: F401
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -85,27 +86,3 @@ QUERIES = {
     "op9_lm_scores": op9_lm_scores,
     "op10_url_filter": op10_url_filter,
 }
-# Distinct sets, pairs of them that share a shingle, and what is reachable by links.
-OP2_SQL = r"""
-with d as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
-  from documents),
-s as materialized (
-  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as shingles
-  from d),
-classes as materialized (
-  select min(doc_id) as rep, shingles, len(shingles) as n from s where len(shingles) > 0 group by shingles),
-e as materialized (select rep, n, unnest(shingles) as shingle from classes),
-links as materialized (
-  select a.rep as u, b.rep as v from e a join e b on a.shingle = b.shingle and a.rep < b.rep
-  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-both_ways as (select u, v from links union all select v, u from links),
-reach as (
-  with recursive r as (select rep as node, rep as seen from classes union select r.node, b.v from r join both_ways b on b.u = r.seen)
-  select node, min(seen) as component_id from r group by node)
-select s.doc_id, len(s.shingles)::bigint as n_shingles, coalesce(r.component_id, s.doc_id) as component_id
-from s left join classes c on c.shingles = s.shingles and len(s.shingles) > 0 left join reach r on r.node = c.rep
-"""
-
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL}
