@@ -2,7 +2,59 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, quality
+
+# Words and languages are the query's parameters.
+_VOCABULARY = ", ".join(f"'{word}'" for word in quality.QualityRules().vocabulary)
+_LANGUAGES = ", ".join(f"'{language}'" for language in quality.COMMON_WORDS)
+OP1_SQL = r"""
+with w as materialized (
+  select doc_id, lang, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from documents),
+counted as materialized (
+  select doc_id, lang, words, length(text) as chars, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) as upper_case, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) as letters,
+    length(regexp_replace(text, '[^0-9]+', '', 'g')) as digits, length(regexp_replace(text, '[^.,;:!?''"()\-]+', '', 'g')) as punctuation,
+    list_filter(list_transform(words, lambda w: lower(w)), lambda w: list_contains([{vocabulary}], w)) as hits,
+    row_number() over () as r
+  from w),
+windows as (
+  select r, unnest(list_transform(range(1, len(words) - 1), lambda i: struct_pack(i := i, win := words[i:i + 2]))) as x from counted),
+twice as (select r, x.i as i from windows qualify count(*) over (partition by r, x.win) > 1),
+repeated as (select r, count(distinct i + j)::bigint as n from twice, range(0, 3) t(j) group by r),
+f as materialized (
+  select c.*, len(lines) - len(list_distinct(lines)) as dup_lines, coalesce(n, 0) as n_repeat_words,
+    [chars - word_chars, upper_case, letters - upper_case, digits, punctuation, n_symbols,
+     chars - (chars - word_chars) - letters - digits - punctuation - n_symbols] as class_counts,
+    list_transform([{vocabulary}], lambda v: len(list_filter(hits, lambda h: h = v))) || [n_words - len(hits)] as word_counts
+  from counted c left join repeated using (r)),
+bins as materialized (
+  select r, lang, n_words, 'class' as kind, unnest(range(1, 8)) as i, unnest(class_counts) as x, chars as total from f
+  union all
+  select r, lang, n_words, 'word', unnest(range(1, len(word_counts) + 1)), unnest(word_counts), n_words from f),
+languages as (select lang from f where lang in ({languages}) group by lang having sum(n_words) >= 1000),
+reference as (
+  select lang, kind, i, sum(x) / greatest(sum(sum(x)) over (partition by lang, kind), 1) as q
+  from bins where lang in (select lang from languages) group by lang, kind, i),
+terms as (
+  select r, kind, b.lang, x / total as p, q, (x / total + q) / 2 as m from bins a join reference b using (kind, i) where total > 0),
+distances as (
+  select r, kind, lang, round(sqrt(least(greatest(sum(
+    case when p > 0 then p * log2(p / m) else 0 end / 2 + case when q > 0 then q * log2(q / m) else 0 end / 2), 0), 1)), 6) as distance
+  from terms group by r, kind, lang),
+nearest as (
+  select r, min(distance) filter (kind = 'class') as class_distance, min(distance) filter (kind = 'word') as word_distance
+  from distances group by r)
+select doc_id, n_words, word_chars, n_symbols, dup_lines::bigint as n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)
+    and not (n_words >= 50 and chars >= 200 and (coalesce(class_distance > 0.27, false) or coalesce(word_distance > 0.4, false))) as kept,
+  class_distance, word_distance
+from f left join nearest using (r)
+""".replace("{vocabulary}", _VOCABULARY).replace("{languages}", _LANGUAGES)
 
 # Distinct sets, pairs of them that share a shingle, and what is reachable by links.
 OP2_SQL = r"""
@@ -115,6 +167,7 @@ from base left join found using (r)
 """.replace("{notices}", _NOTICES)
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
     "op2_jaccard_join": OP2_SQL,
     "op3_source_mix": OP3_SQL,
     "op5_license_scan": OP5_SQL,
