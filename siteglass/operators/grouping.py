@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions.text import js_trim
 
 _SEQ = ("stage", "page_seq", "rule_seq")
 
@@ -87,7 +88,7 @@ def group_report_issues(issues: DataFrame) -> DataFrame:
     Older category names are mapped, empty URLs are not counted, and the first
     generated recommendation that exists is kept.
     """
-    title = F.lower(F.trim(F.col("title")))
+    title = F.lower(js_trim(F.col("title")))
     reco = (
         F.col("ai_recommendation")
         if "ai_recommendation" in issues.columns

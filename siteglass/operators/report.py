@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import to_fixed
+from ..functions.text import js_trim, to_fixed
 from .grouping import first_rows
 from .ranking import id_bucket, ranked
 from .rules_external import whole
@@ -292,7 +292,7 @@ MAX_SHOWN_ERROR = 160
 
 def error_class(message: Column) -> Column:
     """``empty``, ``network``, ``technical`` or ``showable`` for a stored failure."""
-    text = F.trim(message)
+    text = js_trim(message)
     return (
         F.when(text.isNull() | (text == ""), "empty")
         .when(text.rlike(NETWORK_ERRORS), "network")

@@ -160,3 +160,10 @@ def test_attributes_of_a_tag_with_very_many(spark, n):
         markup.has_attr(F.col("tag"), "hidden").alias("hidden"),
     )
     assert tuple(row.first()) == ("/x", "", True, False)
+
+
+def test_stored_errors_are_trimmed_of_all_white_space(spark):
+    from siteglass.operators.report import error_class
+
+    rows = spark.createDataFrame([("\u00a0\n",), ("Page answered 500\n",), ("a\nb",), (None,)], "m string")
+    assert [r[0] for r in rows.select(error_class(F.col("m"))).collect()] == ["empty", "showable", "technical", "empty"]
