@@ -227,6 +227,26 @@ def test_neighbour_recall(spark):
     assert hits >= 0.9 * 5 * 30 and max(r["query_id"] for r in found) < 1500
 
 
+def test_neighbour_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
+    # From two projections and few proposals, neighbours come nearer for more than four rounds.
+    made, stored = [], neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, name: made.append(name) or stored(df, name))
+    x = np.random.default_rng(5).standard_normal((3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    neighbours.nearest_neighbours(table, F.col("vec_id") == 0, tables=2, degree=10, proposals=5, beam=10)
+    assert made.count("graph") > 5
+
+
+def test_neighbour_search_walks_to_the_end(spark):
+    # Node 9 is the nearest to node 0, nine edges away.
+    turn = [0.0] + [(10 - i) / 10 for i in range(1, 10)]
+    units = [(i, np.array([np.cos(a), np.sin(a)], np.float16).tobytes()) for i, a in enumerate(turn)]
+    graph = spark.createDataFrame([(i, i + 1, float(np.cos(turn[i] - turn[i + 1]))) for i in range(9)], "u long, w long, s float")
+    nodes = spark.createDataFrame(units, "node long, unit binary")
+    found = neighbours.searched(graph, nodes, nodes.where("node = 0"), beam=4).collect()
+    assert (0, 9) in {(r["q"], r["w"]) for r in found}
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://A.example/p#x", 10, "response", {"ETag": '"1"', "Content-Length": "9"}),
