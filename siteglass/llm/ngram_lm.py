@@ -25,7 +25,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,12 +162,11 @@ def _bigram_keys(places: np.ndarray, v: Vocabulary) -> np.ndarray:
 def _documents(batches, v: Vocabulary):
     """(row, doc_id, place of every word) of all rows a task reads, in their order."""
     places = _Places(v)
-    row = TaskContext.get().partitionId() << 36
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        columns = (batch.column(x).to_pylist() for x in ("row", "doc_id", "text"))
+        for row, doc_id, text in zip(*columns):
             words = words_of(text)
             yield row, doc_id, np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-            row += 1
 
 
 def _chunked(rows, most: int):
@@ -228,7 +226,7 @@ def document_bigrams(
             row, n, part, key = (pa.array(np.concatenate(x)) for x in zip(*chunk))
             yield pa.RecordBatch.from_arrays([row, key, n, part], ["row", "key", "n", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(pairs, "row long, key long, n int, part long")
+    return docs.select("row", "doc_id", "text").mapInArrow(pairs, "row long, key long, n int, part long")
 
 
 def documents_and_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -275,7 +273,7 @@ def documents_and_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 for at in range(0, len(keys), 250_000):
                     yield rows_of(key=keys[at : at + 250_000], c=counts[at : at + 250_000])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     return slim.mapInArrow(make, schema)
 
 
@@ -342,11 +340,13 @@ def scored(docs: DataFrame, vocabulary_size: int = 100_000, frequent_size: int =
 
     Output: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score`` (log10). A null or empty text is the end token alone. Repeated rows count and
-    are scored each; rows are told apart by their place in the input. An empty table
+    are scored each; rows are told apart by a number that is written with them once, so that
+    every pass reads the same, however it splits the files. An empty table
     gives no rows; without training documents every word is unknown and classes are
     equally likely. Further columns are left out. ``frequent_size`` bigrams at most are scored
     without a join; it changes no result.
     """
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "lm-texts")
     unigrams = stored(unigram_counts(docs), "lm-unigrams")
     v = vocabulary(unigrams, vocabulary_size)
     both = stored(documents_and_counts(docs, v), "lm-documents-and-counts")
@@ -385,6 +385,7 @@ def scored(docs: DataFrame, vocabulary_size: int = 100_000, frequent_size: int =
     slim = counted.select("row", "key", "n", F.coalesce("c", F.lit(0)).alias("c"), "part")
     parts = slim.mapInArrow(mixture, "row long, part long")
     bigram_parts = stored(parts.groupBy("row").agg(F.sum("part").alias("bigram_score")), "lm-bigrams")
+    discard(docs)
     both = facts.drop("rare", "rare_n").join(rare_parts, "row", "left").join(bigram_parts, "row", "left")
     part = lambda c: F.coalesce(c, F.lit(0))
     return both.select(

@@ -210,6 +210,14 @@ def test_lm_scores_do_not_depend_on_frequent_pairs(odd):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_lm_scores_do_not_depend_on_how_texts_are_split(odd, monkeypatch):
+    run = lambda: sorted(map(str, ngram_lm.scored(odd, vocabulary_size=6).collect()))
+    want, read = run(), ngram_lm.document_bigrams
+    other = lambda docs, *more: read(docs.repartition(3).sortWithinPartitions(F.desc("text")), *more)
+    monkeypatch.setattr(ngram_lm, "document_bigrams", other)
+    assert run() == want
+
+
 def test_neighbour_recall(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16))
