@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, neighbours, ngram_lm, packing, quality, revisits, token_counts, url_filter
+from . import (
+    conversation_trie, jaccard, language_mix, licenses, merkle, mixing, neighbours, ngram_lm, packing, quality,
+    revisits, token_counts, url_filter,
+)
 from .oracle_sql import ORACLES  # noqa: F401
 
 WORD_BPE = "word_bpe_49k.json"
@@ -74,6 +77,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), model)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document, one in seven with a changed length."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows = merkle.verified(merkle.manifest(docs, claims={"n_chars": claimed}))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    return language_mix.predicted(docs, language_mix.fit(docs))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(turns))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
@@ -85,4 +109,7 @@ QUERIES = {
     "op8_revisits": op8_revisits,
     "op9_lm_scores": op9_lm_scores,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_mix": op12_language_mix,
+    "op13_conversation_trie": op13_conversation_trie,
 }
