@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import licenses, quality
+from .integrity_sql import OP11_SQL, OP13_SQL
 
 # Words and languages are the query's parameters.
 _VOCABULARY = ", ".join(f"'{word}'" for word in quality.QualityRules().vocabulary)
@@ -171,4 +172,6 @@ ORACLES: dict[str, str] = {
     "op2_jaccard_join": OP2_SQL,
     "op3_source_mix": OP3_SQL,
     "op5_license_scan": OP5_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
