@@ -1,41 +1,45 @@
 """Language-model scores by deleted interpolation.
 
-A bigram model over words: maximum-likelihood estimates of bigram, unigram and uniform
-distribution are mixed, with weights that depend on how often the context word was seen.
-The weights of each frequency bucket are learned by expectation-maximisation on held-out
-counts: every training bigram is held out in turn, that is, judged by the counts without
-its own occurrence.
-
-The model's vocabulary is the most frequent training words (a parameter), the end of a
-text, and one class for all rarer words, inside which words have their own smoothed
-unigram distribution. Unigram counts are exact for all words; bigram counts are exact over the
-vocabulary. Both grow with the corpus and stay distributed; only the vocabulary and the most
-frequent bigrams, each limited by its parameter, go through the driver to every task. Bigrams
-among these are scored where a text is read, so that none stands in a large share of the
-rows that meet the counts of all others in a join.
+A bigram model over all training words and the end of a text: maximum-likelihood estimates of
+bigram, unigram and uniform distribution are mixed, with weights that depend on how often the
+context was seen. The weights of each frequency bucket are learned by expectation-maximisation
+on held-out counts: every training bigram is held out in turn, that is, judged by the counts
+without its own occurrence.
+
+Texts are read once and kept as blocks of word hashes, about ``BLOCK`` tokens each. A block asks
+for the counts of its distinct words and bigrams: sorted keys, cut at the bounds of equal ranges
+of hashes, with how often the block holds each in training. What all blocks ask of one range
+meets in one task, which adds up and answers each block in the order of its question. So counts
+are exact for every word and bigram, whatever their number, none goes through the driver, and
+even the most frequent one takes at most one place in each block's question.
+
+Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructType
 
 from .storage import discard, stored
 
 END = xxhash.xxh64_intdigest(b"\nend") - (1 << 63)  # no word holds a line break
-SHIFT = 20  # bits of a class number in a bigram key
 DIGITS = 1_000_000_000  # scores are summed as whole billionths, so that order doesn't matter
 BUCKETS = 24
 STEPS = 4  # histogram cells per doubling of a probability
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+BLOCK = 1 << 18
+#: Tokens of the corpus per range of hashes, about: bounds what one task adds up.
+RANGE = 2_000_000
+ONCE = 1 << 63
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,238 +47,198 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
 def remainder(doc_id) -> int:
     """crc32 of the id as text, modulo 5; a missing id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5
 
 
-def unigram_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): exact counts of all training tokens, ends included; words by hash."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flushed(counts: Counter) -> pa.RecordBatch:
-            names = [END if w is None else word_hash(w) for w in counts]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["word", "c"]
-            )
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if remainder(doc_id) != 1:
-                    counts.update(words_of(text))
-                    counts[None] += 1
-                    if len(counts) > REMEMBERED:
-                        yield flushed(counts)
-                        counts = Counter()
-        if counts:
-            yield flushed(counts)
-
-    parts = docs.select("doc_id", "text").mapInArrow(count, "word long, c long")
-    return parts.groupBy("word").agg(F.sum("c").cast("long").alias("c"))
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Classes 0 to size - 1 are words, then rare words, the end, and the start."""
-
-    words: np.ndarray
-    counts: np.ndarray  # of words, rare, end, start
-    total: int
-    distinct: int
-
-    @property
-    def rare(self) -> int:
-        return len(self.words)
-
-    @property
-    def end(self) -> int:
-        return len(self.words) + 1
-
-    @property
-    def start(self) -> int:
-        return len(self.words) + 2
-
-    @property
-    def rare_total(self) -> float:
-        """Denominator of the distribution inside the class of rare words."""
-        return float(self.counts[self.rare] + 0.5 * (self.distinct - len(self.words) - 1 + 1))
-
-    @property
-    def base_total(self) -> float:
-        return self.total + 0.5 * (self.distinct + 1)
-
-
-def at_least(counts: DataFrame, size: int, more: bool) -> float:
-    """A bound on ``c`` that leaves about ``size`` rows: never fewer if ``more``, else never more."""
-    step = F.floor(F.log2("c") * STEPS).alias("step")
-    steps = counts.groupBy(step).count().orderBy(F.desc("step")).collect()  # some hundred rows at most
-    kept, bound = 0, float("inf")
-    for row in steps:
-        kept += row["count"]
-        if kept > size and not more:
-            break
-        bound = 2.0 ** (row["step"] / STEPS)
-        if kept >= size:
-            break
-    return bound * (1 - 1e-9)
-
-
-def vocabulary(unigrams: DataFrame, size: int) -> Vocabulary:
-    total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = unigrams.where(F.col("word") == END).first()
-    n_ends = ends["c"] if ends else 0
-    words = unigrams.where(F.col("word") != END)
-    words = words.where(F.col("c") >= at_least(words, size, more=True))
-    top = words.orderBy(F.desc("c"), "word").limit(size).collect()
-    counts = [r["c"] for r in top]
-    rare = total - n_ends - sum(counts)
-    return Vocabulary(
-        np.array([r["word"] for r in top], np.int64), np.array([*counts, rare, n_ends, n_ends], np.int64),
-        total, distinct,
-    )
-
-
-class _Places(dict):
-    """Class of a word of the vocabulary; of any other, its hash made negative."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.classes = dict(zip(vocabulary.words.tolist(), range(vocabulary.rare)))
+class _Hashes(dict):
+    """Hash of a word, remembered while there is room."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        h = word_hash(word)
-        self[word] = found = self.classes.get(h, (h & ((1 << 63) - 1)) - (1 << 63))
+        self[word] = found = xxhash.xxh64_intdigest(word) - ONCE
         return found
 
 
-def _bigram_keys(places: np.ndarray, v: Vocabulary) -> np.ndarray:
-    classes = np.concatenate([[v.start], np.where(places < 0, v.rare, places), [v.end]])
-    return (classes[:-1] << SHIFT) | classes[1:]
-
-
-def _documents(batches, v: Vocabulary):
-    """(row, doc_id, place of every word) of all rows a task reads, in their order."""
-    places = _Places(v)
-    for batch in batches:
-        columns = (batch.column(x).to_pylist() for x in ("row", "doc_id", "text"))
-        for row, doc_id, text in zip(*columns):
-            words = words_of(text)
-            yield row, doc_id, np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-
-
-def _chunked(rows, most: int):
-    """Lists of arrays with about ``most`` values each."""
-    chunk, n = [], 0
-    for arrays in rows:
-        chunk.append(arrays)
-        n += len(arrays[-1]) + 1
-        if n >= most:
-            yield chunk
-            chunk, n = [], 0
-    if chunk:
-        yield chunk
-
-
-def pair_terms(key: np.ndarray, c: np.ndarray, v: Vocabulary, weights: np.ndarray) -> np.ndarray:
-    """Score of one occurrence of each pair, in whole billionths."""
-    context, seen = v.counts[key >> SHIFT], v.counts[key & ((1 << SHIFT) - 1)]
-    mix = weights[frequency_bucket(context)]
-    p = mix[:, 0] * c / np.maximum(context, 1) + mix[:, 1] * seen / max(v.total, 1) + mix[:, 2] / (v.rare + 2)
-    return np.rint(np.log10(p) * DIGITS).astype(np.int64)
-
-
-def frequent_pairs(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, in order, and counts of at most ``size`` pairs, the most frequent ones."""
-    found = counts.where(F.col("c") >= at_least(counts, size, more=False)).toArrow()
-    key, c = (found.column(x).to_numpy() for x in ("key", "c"))
-    order = np.argsort(key)
-    return key[order], c[order]
-
-
-def document_bigrams(
-    docs: DataFrame, v: Vocabulary, frequent: tuple[np.ndarray, np.ndarray], weights: np.ndarray
-) -> DataFrame:
-    """Two kinds of rows (row, key, n, part) from one pass over the texts.
-
-    With a ``key`` of 0 or more: a pair that isn't frequent and its count in the document. With a
-    negative one, of no pair: ``part``, the summed score of the document's frequent pairs.
+def bigram_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One hash for each pair of hashes."""
+    a, b = contexts.view(np.uint64), words.view(np.uint64)
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(29)))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Block:
+    """Pieces of texts, read back: ``words`` and the word before each, the end before a text."""
+
+    def __init__(self, table: pa.RecordBatch, row: int):
+        at = {name: table.column(name)[row] for name in ("length", "first", "held", "words")}
+        self.length = np.array(at["length"].as_py(), np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        self.words = np.frombuffer(at["words"].as_buffer(), "<i8")
+        self.contexts = np.concatenate([[0], self.words[:-1]])
+        self.contexts[self.starts] = at["first"].as_py()
+        self.trained = np.repeat(~np.array(at["held"].as_py(), bool), self.length)
+
+    def asked(self, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted keys, place of each token's key, training occurrences of each key).
+
+        Of words, those are asked too that only are a context here.
+        """
+        if pairs:
+            keys, where = np.unique(bigram_keys(self.contexts, self.words), return_inverse=True)
+            return keys, where, np.bincount(where[self.trained], minlength=len(keys))
+        both = np.concatenate([self.words, self.contexts]).view(np.uint64)
+        keys, where = np.unique(both, return_inverse=True)
+        return keys, where, np.bincount(where[: len(self.words)][self.trained], minlength=len(keys))
+
+
+def _range_bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of the equal ranges of hashes begins among sorted keys, and the end."""
+    inner = (np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges)).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])
+
+
+def token_blocks(docs: DataFrame) -> DataFrame:
+    """block, row, doc_id, held, length, first, words: pieces of texts, whole ones where they fit."""
+    kind = docs.schema["doc_id"].dataType
+    names = ["block", "row", "doc_id", "held", "length", "first", "words"]
+
+    def cut(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36
+        hashes, row = _Hashes(), number
+        pieces: list[tuple] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            nonlocal number
+            rows, ids, held, lengths, firsts, words = zip(*pieces)
+            columns = [
+                pa.array([number], pa.int64()), pa.array([rows], pa.list_(pa.int64())),
+                pa.array([ids], pa.list_(id_kind)), pa.array([held], pa.list_(pa.bool_())),
+                pa.array([lengths], pa.list_(pa.int64())), pa.array([firsts], pa.list_(pa.int64())),
+                pa.array([np.concatenate(words).tobytes()], pa.binary()),
+            ]
+            number += 1
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for table in tables:
+            id_kind = table.column("doc_id").type
+            for place, doc_id in enumerate(table.column("doc_id").to_pylist()):
+                found = words_of(table.column("text")[place].as_py())
+                words = np.empty(len(found) + 1, np.int64)
+                words[:-1] = np.fromiter(map(hashes.__getitem__, found), np.int64, len(found))
+                words[-1] = END
+                held = remainder(doc_id) == 1
+                for at in range(0, len(words), BLOCK):
+                    piece = words[at : at + BLOCK]
+                    pieces.append((row, doc_id, held, len(piece), int(words[at - 1]) if at else END, piece))
+                    size += len(piece)
+                    if size >= BLOCK:
+                        yield flushed()
+                        pieces, size = [], 0
+                row += 1
+        if pieces:
+            yield flushed()
+
+    of = {"row": LongType(), "doc_id": kind, "held": BooleanType(), "length": LongType(), "first": LongType()}
+    schema = StructType().add("block", "long")
+    for name, inner in of.items():
+        schema = schema.add(name, ArrayType(inner))
+    return docs.select("doc_id", "text").mapInArrow(cut, schema.add("words", "binary"))
+
+
+def counted(blocks: DataFrame, ranges: int) -> DataFrame:
+    """block, part, n: answers, training counts of the keys that a block asks of a range.
+
+    Parts from 0 are ranges of words, those from ``ranges`` of bigrams. For block -1 a range of
+    words answers with the numbers of its training tokens and distinct training words.
     """
-    known = np.append(frequent[0], np.iinfo(np.int64).max)
-    terms = np.append(pair_terms(*frequent, v, weights), 0)
-
-    def pairs(batches):
-        def each():
-            for row, _, places in _documents(batches, v):
-                keys = _bigram_keys(places, v)
-                at = np.searchsorted(known, keys)
-                other = known[at] != keys
-                rest, n = np.unique(keys[other], return_counts=True)
-                part = terms[at[~other]].sum()
-                yield (
-                    np.full(len(rest) + 1, row), np.append(n, 0).astype(np.int32),
-                    np.append(np.zeros(len(rest), np.int64), part), np.append(rest, -1 - row),
-                )
-
-        for chunk in _chunked(each(), 250_000):
-            row, n, part, key = (pa.array(np.concatenate(x)) for x in zip(*chunk))
-            yield pa.RecordBatch.from_arrays([row, key, n, part], ["row", "key", "n", "part"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(pairs, "row long, key long, n int, part long")
-
-
-def documents_and_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Two kinds of rows from one pass over the texts.
-
-    With ``row``: a document's counts, the base score of its vocabulary words, its rare words.
-    With ``key``: a part of the training count ``c`` of a pair of classes.
-    """
-    logs = np.log10((v.counts + 0.5) / v.base_total)
-    schema = (
-        "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-        "rare array<long>, rare_n array<int>, key long, c long"
-    )
-    fields = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-         ("n_known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())),
-         ("rare_n", pa.list_(pa.int32())), ("key", pa.int64()), ("c", pa.int64())]
-    )
-
-    def rows_of(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields]
-        return pa.RecordBatch.from_arrays(arrays, schema=fields)
-
-    def make(batches):
-        def each():
-            for row, doc_id, places in _documents(batches, v):
-                rare, n = np.unique(places[places < 0], return_counts=True)
-                frequent = places[places >= 0]
-                held = remainder(doc_id) == 1
-                yield {
-                    "row": row, "doc_id": doc_id, "held_out": held, "n_tokens": len(places) + 1,
-                    "n_known": len(frequent) + int(v.counts[v.end] > 0),
-                    "base": float(logs[frequent].sum() + logs[v.end]),
-                    "rare": rare, "rare_n": n.astype(np.int32),
-                }, ([] if held else _bigram_keys(places, v))
-
-        for chunk in _chunked(each(), 1_000_000):
-            facts = [f for f, _ in chunk]
-            yield rows_of(**{name: [f[name] for f in facts] for name in facts[0]})
-            trained = [keys for _, keys in chunk if len(keys)]
-            if trained:
-                keys, counts = np.unique(np.concatenate(trained), return_counts=True)
-                for at in range(0, len(keys), 250_000):
-                    yield rows_of(key=keys[at : at + 250_000], c=counts[at : at + 250_000])
-
-    slim = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(make, schema)
+    def ask(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            for row, number in enumerate(table.column("block").to_pylist()):
+                block = Block(table, row)
+                for pairs in (False, True):
+                    keys, _, n = block.asked(pairs)
+                    bounds = _range_bounds(keys, ranges)
+                    parts = np.flatnonzero(np.diff(bounds))
+                    cuts = list(zip(bounds[parts].tolist(), bounds[parts + 1].tolist()))
+                    n = n.astype("<i4")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(parts), number)), pa.array((parts + pairs * ranges).astype(np.int32)),
+                            pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
+                            pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary()),
+                        ],
+                        ["block", "part", "keys", "n"],
+                    )
+
+    def summed(part: int, asked: list[tuple]) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(k, "<u8") for _, k, _ in asked])
+        n = np.concatenate([np.frombuffer(x, "<i4") for *_, x in asked])
+        found, where = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, where, n)
+        back, at, answers = total[where], 0, []
+        for _, k, _ in asked:
+            answers.append(back[at : at + len(k) // 8].tobytes())
+            at += len(k) // 8
+        numbers = [b for b, *_ in asked]
+        if part < ranges:
+            numbers.append(-1)
+            answers.append(np.array([total.sum(), (total > 0).sum()], "<i8").tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(numbers, pa.int64()), pa.array([part] * len(numbers), pa.int32()), pa.array(answers, pa.binary())],
+            ["block", "part", "n"],
+        )
+
+    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked = None, []
+        for table in tables:
+            for part, *question in zip(*[table.column(c).to_pylist() for c in ("part", "block", "keys", "n")]):
+                if part != now:
+                    if asked:
+                        yield summed(now, asked)
+                    now, asked = part, []
+                asked.append(question)
+        if asked:
+            yield summed(now, asked)
+
+    asked = blocks.select("block", "length", "first", "held", "words")
+    asked = asked.mapInArrow(ask, "block long, part int, keys binary, n binary")
+    dealt = asked.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "block long, part int, n binary")
+
+
+def resolved(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Blocks with the training counts of every token's context, word and bigram."""
+    fields = ["row", "doc_id", "held", "length"]
+    schema = StructType([blocks.schema[f] for f in fields])
+    schema = schema.add("context", "binary").add("word", "binary").add("bigram", "binary")
+    whole = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("answers"))
+
+    def resolve(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            for row in range(table.num_rows):
+                block = Block(table, row)
+                n = np.frombuffer(b"".join(x["n"] for x in table.column("answers")[row].as_py()), "<i8")
+                keys, where, _ = block.asked(False)
+                size = len(block.words)
+                word, context = n[where[:size]], n[where[size:]]
+                bigram = n[len(keys) :][block.asked(True)[1]]
+                counts = [pa.array([x.tobytes()], pa.binary()) for x in (context, word, bigram)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[table.column(f).slice(row, 1) for f in fields], *counts], [*fields, "context", "word", "bigram"]
+                )
+
+    return blocks.join(whole, "block").drop("block").mapInArrow(resolve, schema)
+
+
+def _counts(table: pa.RecordBatch, row: int) -> list[np.ndarray]:
+    return [np.frombuffer(table.column(c)[row].as_buffer(), "<i8") for c in ("context", "word", "bigram")]
 
 
 def frequency_bucket(count: np.ndarray) -> np.ndarray:
@@ -282,34 +246,35 @@ def frequency_bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(count + 1.0)).astype(np.int64), BUCKETS - 1)
 
 
-def held_out_histogram(counts: DataFrame, v: Vocabulary) -> np.ndarray:
+def held_out_histogram(blocks: DataFrame, total: int) -> np.ndarray:
     """Rows (bucket, bigram estimate, unigram estimate, weight) of held-out training bigrams.
 
-    Estimates are those without the judged occurrence, to a quarter of a doubling.
+    Estimates are those without the judged occurrence, to a quarter of a doubling; so their
+    number has a bound that does not depend on the corpus but for the range of its counts.
     """
 
-    def tally(batches):
-        for batch in batches:
-            key, c = batch.column("key").to_numpy(), batch.column("c").to_numpy()
-            context, seen = v.counts[key >> SHIFT], v.counts[key & ((1 << SHIFT) - 1)]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bigram = np.log2((c - 1) / np.maximum(context - 1, 1))
-                unigram = np.log2((seen - 1) / max(v.total - 1, 1))
-            cell = [np.where(np.isfinite(x), np.round(x * STEPS), -10_000).astype(np.int64) for x in (bigram, unigram)]
-            rows = np.stack([frequency_bucket(context), *cell])
-            found, where = np.unique(rows, axis=1, return_inverse=True)
-            weight = np.bincount(where.ravel(), c, found.shape[1])
-            columns = [pa.array(x) for x in found] + [pa.array(weight.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["b", "p2", "p1", "w"])
-
-    cells = counts.mapInArrow(tally, "b long, p2 long, p1 long, w long")
+    def tally(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            for row in range(table.num_rows):
+                trained = ~np.array(table.column("held")[row].as_py(), bool)
+                trained = np.repeat(trained, table.column("length")[row].as_py())
+                context, word, bigram = (x[trained] for x in _counts(table, row))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    estimates = np.log2((bigram - 1) / np.maximum(context - 1, 1)), np.log2((word - 1) / max(total - 1, 1))
+                p2, p1 = (np.where(np.isfinite(x), np.round(x * STEPS), -9_999).astype(np.int64) for x in estimates)
+                code = (frequency_bucket(context) * 10_000 - p2) * 10_000 - p1
+                found, weight = np.unique(code, return_counts=True)
+                columns = [found // 10**8, -(found // 10**4 % 10**4), -(found % 10**4), weight]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["b", "p2", "p1", "w"])
+
+    cells = blocks.mapInArrow(tally, "b long, p2 long, p1 long, w long")
     tallied = stored(cells.groupBy("b", "p2", "p1").agg(F.sum("w").alias("w")), "lm-held-out")
     rows = tallied.orderBy("b", "p2", "p1").collect()
     discard(tallied)
     return np.array([tuple(r) for r in rows], np.float64).reshape(-1, 4)
 
 
-def learned_weights(histogram: np.ndarray, n_classes: int, rounds: int = 60) -> np.ndarray:
+def learned_weights(histogram: np.ndarray, n_outcomes: int, rounds: int = 60) -> np.ndarray:
     """Weights (bigram, unigram, uniform) of every bucket, by expectation-maximisation.
 
     A bucket without held-out bigrams has the weights of all buckets together, and an
@@ -318,8 +283,8 @@ def learned_weights(histogram: np.ndarray, n_classes: int, rounds: int = 60) ->
 
     def maximised(rows: np.ndarray) -> np.ndarray:
         p = np.stack(
-            [*(np.where(rows[:, i] > -10_000, 2.0 ** (rows[:, i] / STEPS), 0.0) for i in (1, 2)),
-             np.full(len(rows), 1 / n_classes)]
+            [*(np.where(rows[:, i] > -9_999, 2.0 ** (rows[:, i] / STEPS), 0.0) for i in (1, 2)),
+             np.full(len(rows), 1 / n_outcomes)]
         )
         weights = np.full(3, 1 / 3)
         for _ in range(rounds):
@@ -335,63 +300,72 @@ def learned_weights(histogram: np.ndarray, n_classes: int, rounds: int = 60) ->
     return np.stack([maximised(rows) if len(rows) else pooled for rows in by_bucket])
 
 
-def scored(docs: DataFrame, vocabulary_size: int = 100_000, frequent_size: int = 300_000) -> DataFrame:
+def token_scores(
+    context: np.ndarray, word: np.ndarray, bigram: np.ndarray, total: int, distinct: int, weights: np.ndarray
+) -> np.ndarray:
+    """log10 probability of each token given its context."""
+    mix = weights[frequency_bucket(context)]
+    p = mix[:, 0] * bigram / np.maximum(context, 1) + mix[:, 1] * word / max(total, 1) + mix[:, 2] / (distinct + 1)
+    return np.log10(p)
+
+
+def _summed_by_text(blocks: DataFrame, total: int, distinct: int, weights: np.ndarray) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known, base and score in billionths, by piece."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    schema = StructType().add("row", "long").add("doc_id", blocks.schema["doc_id"].dataType.elementType)
+    schema = schema.add("held_out", "boolean")
+    for name in names[3:]:
+        schema = schema.add(name, "long")
+
+    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            for row in range(table.num_rows):
+                context, word, bigram = _counts(table, row)
+                length = np.array(table.column("length")[row].as_py(), np.int64)
+                starts = np.concatenate([[0], np.cumsum(length)[:-1]])
+                base = np.log10((word + 0.5) / (total + 0.5 * (distinct + 1)))
+                score = token_scores(context, word, bigram, total, distinct, weights)
+                sums = [(word > 0).astype(np.int64), *(np.rint(x * DIGITS).astype(np.int64) for x in (base, score))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[table.column(c)[row].values for c in ("row", "doc_id", "held")],
+                        pa.array(length), *[pa.array(np.add.reduceat(x, starts)) for x in sums],
+                    ],
+                    names,
+                )
+
+    return blocks.mapInArrow(add, schema)
+
+
+def scored(docs: DataFrame) -> DataFrame:
     """Base and model score of every document, trained on those that aren't held out.
 
     Output: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score`` (log10). A null or empty text is the end token alone. Repeated rows count and
-    are scored each; rows are told apart by a number that is written with them once, so that
-    every pass reads the same, however it splits the files. An empty table
-    gives no rows; without training documents every word is unknown and classes are
-    equally likely. Further columns are left out. ``frequent_size`` bigrams at most are scored
-    without a join; it changes no result.
+    are scored each; rows are told apart by a number that is written with their tokens. An
+    empty table gives no rows; without training documents every word is unknown and all
+    outcomes are equally likely. Further columns are left out.
     """
-    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "lm-texts")
-    unigrams = stored(unigram_counts(docs), "lm-unigrams")
-    v = vocabulary(unigrams, vocabulary_size)
-    both = stored(documents_and_counts(docs, v), "lm-documents-and-counts")
-    counts = both.where("key is not null").groupBy("key").agg(F.sum("c").cast("long").alias("c"))
-    counts = stored(counts, "lm-pairs")
-    weights = learned_weights(held_out_histogram(counts, v), v.rare + 2)
-    facts = stored(both.where("row is not null").drop("key", "c"), "lm-documents")
-    discard(both)
-    rare = facts.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
-    rare = rare.select("row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
-    # Hashes were made negative by dropping their first bit; so must those they meet.
-    known = unigrams.select(F.col("word").bitwiseOR(F.lit(-(1 << 63))).alias("word"), "c")
-    known = known.groupBy("word").agg(F.max("c").alias("c"))
-    met = rare.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    billionths = lambda x: F.round(F.log10(x) * DIGITS).cast("long")
-    rare_parts = stored(met.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * billionths((F.col("c") + 0.5) / v.base_total)).alias("rare_base"),
-        F.sum(F.col("n") * billionths((F.col("c") + 0.5) / v.rare_total)).alias("rare_score"),
-    ), "lm-rare")
-
-    frequent = frequent_pairs(counts, frequent_size)
-    counted = document_bigrams(docs, v, frequent, weights).join(counts, "key", "left")
-
-    def mixture(batches):
-        for batch in batches:
-            key, c, n, part = (batch.column(x).to_numpy() for x in ("key", "c", "n", "part"))
-            pair = key >= 0
-            term = part.copy()
-            term[pair] = pair_terms(key[pair], c[pair], v, weights) * n[pair]
-            rows, where = np.unique(batch.column("row").to_numpy(), return_inverse=True)
-            total = np.zeros(len(rows), np.int64)
-            np.add.at(total, where, term)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total)], ["row", "part"])
-
-    slim = counted.select("row", "key", "n", F.coalesce("c", F.lit(0)).alias("c"), "part")
-    parts = slim.mapInArrow(mixture, "row long, part long")
-    bigram_parts = stored(parts.groupBy("row").agg(F.sum("part").alias("bigram_score")), "lm-bigrams")
-    discard(docs)
-    both = facts.drop("rare", "rare_n").join(rare_parts, "row", "left").join(bigram_parts, "row", "left")
-    part = lambda c: F.coalesce(c, F.lit(0))
-    return both.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + part("rare_known")).alias("n_known"),
-        F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + part("rare_base") / DIGITS).alias("base_score"),
-        ((part("bigram_score") + part("rare_score")) / DIGITS).alias("score"),
+    spark = docs.sparkSession
+    blocks = stored(token_blocks(docs), "lm-tokens")
+    tokens = blocks.agg(F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE))
+    answers = stored(counted(blocks, ranges), "lm-answers")
+    n = F.when(F.col("block") == -1, F.col("n"))
+    total = distinct = 0
+    for part in answers.where("block = -1").select(n.alias("n")).toLocalIterator():
+        a, b = np.frombuffer(part["n"], "<i8")
+        total, distinct = total + int(a), distinct + int(b)
+    known = stored(resolved(blocks, answers), "lm-resolved")
+    discard(blocks, answers)
+    weights = learned_weights(held_out_histogram(known, total), distinct + 1)
+    pieces = _summed_by_text(known, total, distinct, weights)
+    texts = pieces.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")],
+    )
+    return texts.select(
+        "doc_id", "held_out", "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") / DIGITS).alias("base_score"), (F.col("score") / DIGITS).alias("score"),
     )
