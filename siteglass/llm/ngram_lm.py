@@ -36,7 +36,7 @@ DIGITS = 1_000_000_000  # scores are summed as whole billionths, so that order d
 BUCKETS = 24
 STEPS = 4  # histogram cells per doubling of a probability
 REMEMBERED = 400_000
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: Tokens of the corpus per range of hashes, about: bounds what one task adds up.
 RANGE = 2_000_000
 ONCE = 1 << 63
@@ -64,35 +64,65 @@ class _Hashes(dict):
 
 def bigram_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     """One hash for each pair of hashes."""
-    a, b = contexts.view(np.uint64), words.view(np.uint64)
+    a, b = contexts, words
     x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(29)))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as all first bytes, all second ones and so on: small ones compress well."""
+    return np.ascontiguousarray(numbers.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 class Block:
-    """Pieces of texts, read back: ``words`` and the word before each, the end before a text."""
+    """Pieces of texts, read back, as places in the block's list of words.
+
+    ``words`` has the place of each token, ``contexts`` that of the word before, of the end
+    before a text. ``known`` are the hashes in descending order of their occurrences.
+    """
 
     def __init__(self, table: pa.RecordBatch, row: int):
-        at = {name: table.column(name)[row] for name in ("length", "first", "held", "words")}
+        at = {name: table.column(name)[row] for name in ("length", "first", "held", "known", "words")}
         self.length = np.array(at["length"].as_py(), np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.words = np.frombuffer(at["words"].as_buffer(), "<i8")
+        self.known = np.frombuffer(at["known"].as_buffer(), "<u8")
+        self.words = np.frombuffer(at["words"].as_buffer(), "<u4").astype(np.int64)
         self.contexts = np.concatenate([[0], self.words[:-1]])
         self.contexts[self.starts] = at["first"].as_py()
         self.trained = np.repeat(~np.array(at["held"].as_py(), bool), self.length)
 
-    def asked(self, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted keys, place of each token's key, training occurrences of each key).
+    def asked_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted hashes, which of ``known`` each is, training occurrences).
 
-        Of words, those are asked too that only are a context here.
+        Words that only are a context here are asked too.
         """
-        if pairs:
-            keys, where = np.unique(bigram_keys(self.contexts, self.words), return_inverse=True)
-            return keys, where, np.bincount(where[self.trained], minlength=len(keys))
-        both = np.concatenate([self.words, self.contexts]).view(np.uint64)
-        keys, where = np.unique(both, return_inverse=True)
-        return keys, where, np.bincount(where[: len(self.words)][self.trained], minlength=len(keys))
+        order = np.argsort(self.known)
+        n = np.bincount(self.words[self.trained], minlength=len(self.known))
+        return self.known[order], order, n[order]
+
+    def pairs(self) -> np.ndarray:
+        return self.contexts * len(self.known) + self.words
+
+    def asked_pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted hashes, which of the sorted distinct ``codes`` each is)."""
+        keys = bigram_keys(self.known[codes // len(self.known)], self.known[codes % len(self.known)])
+        order = np.argsort(keys)
+        return keys[order], order
+
+    def question(self, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of words or bigrams, and training occurrences of each."""
+        if not pairs:
+            keys, _, n = self.asked_words()
+            return keys, n
+        codes, where = np.unique(self.pairs(), return_inverse=True)
+        keys, order = self.asked_pairs(codes)
+        return keys, np.bincount(where[self.trained], minlength=len(codes))[order]
 
 
 def _range_bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -102,9 +132,13 @@ def _range_bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def token_blocks(docs: DataFrame) -> DataFrame:
-    """block, row, doc_id, held, length, first, words: pieces of texts, whole ones where they fit."""
+    """block, row, doc_id, held, length, first, known, words: pieces of texts, whole ones where they fit.
+
+    ``known`` lists the block's word hashes, ``words`` the place there of every token, ``first``
+    that of the word before each piece.
+    """
     kind = docs.schema["doc_id"].dataType
-    names = ["block", "row", "doc_id", "held", "length", "first", "words"]
+    names = ["block", "row", "doc_id", "held", "length", "first", "known", "words"]
 
     def cut(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
@@ -115,11 +149,19 @@ def token_blocks(docs: DataFrame) -> DataFrame:
         def flushed() -> pa.RecordBatch:
             nonlocal number
             rows, ids, held, lengths, firsts, words = zip(*pieces)
+            both = np.concatenate([*words, np.array(firsts, np.int64)]).view(np.uint64)
+            known, places, n = np.unique(both, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
+            places = rank[places]
+            firsts = places[len(places) - len(rows) :]
             columns = [
                 pa.array([number], pa.int64()), pa.array([rows], pa.list_(pa.int64())),
                 pa.array([ids], pa.list_(id_kind)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([lengths], pa.list_(pa.int64())), pa.array([firsts], pa.list_(pa.int64())),
-                pa.array([np.concatenate(words).tobytes()], pa.binary()),
+                pa.array([lengths], pa.list_(pa.int64())), pa.array([firsts.tolist()], pa.list_(pa.int64())),
+                pa.array([known[order].tobytes()], pa.binary()),
+                pa.array([places[: len(places) - len(rows)].tobytes()], pa.binary()),
             ]
             number += 1
             return pa.RecordBatch.from_arrays(columns, names)
@@ -147,7 +189,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     schema = StructType().add("block", "long")
     for name, inner in of.items():
         schema = schema.add(name, ArrayType(inner))
-    return docs.select("doc_id", "text").mapInArrow(cut, schema.add("words", "binary"))
+    return docs.select("doc_id", "text").mapInArrow(cut, schema.add("known", "binary").add("words", "binary"))
 
 
 def counted(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -162,34 +204,33 @@ def counted(blocks: DataFrame, ranges: int) -> DataFrame:
             for row, number in enumerate(table.column("block").to_pylist()):
                 block = Block(table, row)
                 for pairs in (False, True):
-                    keys, _, n = block.asked(pairs)
+                    keys, n = block.question(pairs)
                     bounds = _range_bounds(keys, ranges)
                     parts = np.flatnonzero(np.diff(bounds))
                     cuts = list(zip(bounds[parts].tolist(), bounds[parts + 1].tolist()))
-                    n = n.astype("<i4")
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(parts), number)), pa.array((parts + pairs * ranges).astype(np.int32)),
-                            pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
-                            pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary()),
+                            pa.array([packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()),
+                            pa.array([packed(n[a:b]) for a, b in cuts], pa.binary()),
                         ],
                         ["block", "part", "keys", "n"],
                     )
 
     def summed(part: int, asked: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, "<u8") for _, k, _ in asked])
-        n = np.concatenate([np.frombuffer(x, "<i4") for *_, x in asked])
+        keys = np.concatenate([np.cumsum(unpacked(k), dtype=np.uint64) for _, k, _ in asked])
+        n = np.concatenate([unpacked(x) for *_, x in asked]).astype(np.int64)
         found, where = np.unique(keys, return_inverse=True)
         total = np.zeros(len(found), np.int64)
         np.add.at(total, where, n)
         back, at, answers = total[where], 0, []
         for _, k, _ in asked:
-            answers.append(back[at : at + len(k) // 8].tobytes())
+            answers.append(packed(back[at : at + len(k) // 8]))
             at += len(k) // 8
         numbers = [b for b, *_ in asked]
         if part < ranges:
             numbers.append(-1)
-            answers.append(np.array([total.sum(), (total > 0).sum()], "<i8").tobytes())
+            answers.append(packed(np.array([total.sum(), (total > 0).sum()])))
         return pa.RecordBatch.from_arrays(
             [pa.array(numbers, pa.int64()), pa.array([part] * len(numbers), pa.int32()), pa.array(answers, pa.binary())],
             ["block", "part", "n"],
@@ -207,38 +248,35 @@ def counted(blocks: DataFrame, ranges: int) -> DataFrame:
         if asked:
             yield summed(now, asked)
 
-    asked = blocks.select("block", "length", "first", "held", "words")
+    asked = blocks.select("block", "length", "first", "held", "known", "words")
     asked = asked.mapInArrow(ask, "block long, part int, keys binary, n binary")
     dealt = asked.repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(add, "block long, part int, n binary")
 
 
 def resolved(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with the training counts of every token's context, word and bigram."""
-    fields = ["row", "doc_id", "held", "length"]
-    schema = StructType([blocks.schema[f] for f in fields])
-    schema = schema.add("context", "binary").add("word", "binary").add("bigram", "binary")
+    """Blocks with the answers to all they asked, in order."""
     whole = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("answers"))
+    return blocks.join(whole, "block").withColumn("answers", F.col("answers.n"))
 
-    def resolve(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for row in range(table.num_rows):
-                block = Block(table, row)
-                n = np.frombuffer(b"".join(x["n"] for x in table.column("answers")[row].as_py()), "<i8")
-                keys, where, _ = block.asked(False)
-                size = len(block.words)
-                word, context = n[where[:size]], n[where[size:]]
-                bigram = n[len(keys) :][block.asked(True)[1]]
-                counts = [pa.array([x.tobytes()], pa.binary()) for x in (context, word, bigram)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[table.column(f).slice(row, 1) for f in fields], *counts], [*fields, "context", "word", "bigram"]
-                )
-
-    return blocks.join(whole, "block").drop("block").mapInArrow(resolve, schema)
 
+class Counts:
+    """Training counts of a resolved block's words (by place) and of its distinct bigrams."""
 
-def _counts(table: pa.RecordBatch, row: int) -> list[np.ndarray]:
-    return [np.frombuffer(table.column(c)[row].as_buffer(), "<i8") for c in ("context", "word", "bigram")]
+    def __init__(self, table: pa.RecordBatch, row: int):
+        self.block = Block(table, row)
+        n = np.concatenate([unpacked(x) for x in table.column("answers")[row].as_py()]).astype(np.int64)
+        _, order, _ = self.block.asked_words()
+        self.word = np.empty(len(order), np.int64)
+        self.word[order] = n[: len(order)]
+        self._bigram = n[len(order) :]
+
+    def bigram(self, codes: np.ndarray) -> np.ndarray:
+        """Counts of the block's sorted distinct bigrams."""
+        _, order = self.block.asked_pairs(codes)
+        found = np.empty(len(order), np.int64)
+        found[order] = self._bigram
+        return found
 
 
 def frequency_bucket(count: np.ndarray) -> np.ndarray:
@@ -256,14 +294,18 @@ def held_out_histogram(blocks: DataFrame, total: int) -> np.ndarray:
     def tally(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             for row in range(table.num_rows):
-                trained = ~np.array(table.column("held")[row].as_py(), bool)
-                trained = np.repeat(trained, table.column("length")[row].as_py())
-                context, word, bigram = (x[trained] for x in _counts(table, row))
+                counts = Counts(table, row)
+                block, pairs = counts.block, counts.block.pairs()
+                codes = np.unique(pairs)
+                trained, n = np.unique(pairs[block.trained], return_counts=True)
+                bigram = counts.bigram(codes)[np.searchsorted(codes, trained)]
+                context, word = counts.word[trained // len(block.known)], counts.word[trained % len(block.known)]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     estimates = np.log2((bigram - 1) / np.maximum(context - 1, 1)), np.log2((word - 1) / max(total - 1, 1))
                 p2, p1 = (np.where(np.isfinite(x), np.round(x * STEPS), -9_999).astype(np.int64) for x in estimates)
-                code = (frequency_bucket(context) * 10_000 - p2) * 10_000 - p1
-                found, weight = np.unique(code, return_counts=True)
+                cells = (frequency_bucket(context) * 10_000 - p2) * 10_000 - p1
+                found, where = np.unique(cells, return_inverse=True)
+                weight = np.bincount(where, n, len(found)).astype(np.int64)
                 columns = [found // 10**8, -(found // 10**4 % 10**4), -(found % 10**4), weight]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["b", "p2", "p1", "w"])
 
@@ -320,16 +362,18 @@ def _summed_by_text(blocks: DataFrame, total: int, distinct: int, weights: np.nd
     def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             for row in range(table.num_rows):
-                context, word, bigram = _counts(table, row)
-                length = np.array(table.column("length")[row].as_py(), np.int64)
-                starts = np.concatenate([[0], np.cumsum(length)[:-1]])
-                base = np.log10((word + 0.5) / (total + 0.5 * (distinct + 1)))
-                score = token_scores(context, word, bigram, total, distinct, weights)
-                sums = [(word > 0).astype(np.int64), *(np.rint(x * DIGITS).astype(np.int64) for x in (base, score))]
+                counts = Counts(table, row)
+                block, size = counts.block, len(counts.block.known)
+                codes, where = np.unique(block.pairs(), return_inverse=True)
+                context, word = counts.word[codes // size], counts.word[codes % size]
+                score = token_scores(context, word, counts.bigram(codes), total, distinct, weights)
+                base = np.log10((counts.word + 0.5) / (total + 0.5 * (distinct + 1)))
+                whole = lambda x: np.rint(x * DIGITS).astype(np.int64)
+                sums = [(counts.word > 0).astype(np.int64)[block.words], whole(base)[block.words], whole(score)[where]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[table.column(c)[row].values for c in ("row", "doc_id", "held")],
-                        pa.array(length), *[pa.array(np.add.reduceat(x, starts)) for x in sums],
+                        pa.array(block.length), *[pa.array(np.add.reduceat(x, block.starts)) for x in sums],
                     ],
                     names,
                 )
@@ -351,10 +395,9 @@ def scored(docs: DataFrame) -> DataFrame:
     tokens = blocks.agg(F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE))
     answers = stored(counted(blocks, ranges), "lm-answers")
-    n = F.when(F.col("block") == -1, F.col("n"))
     total = distinct = 0
-    for part in answers.where("block = -1").select(n.alias("n")).toLocalIterator():
-        a, b = np.frombuffer(part["n"], "<i8")
+    for part in answers.where("block = -1").select("n").toLocalIterator():
+        a, b = unpacked(part["n"])
         total, distinct = total + int(a), distinct + int(b)
     known = stored(resolved(blocks, answers), "lm-resolved")
     discard(blocks, answers)
