@@ -36,7 +36,7 @@ DIGITS = 1_000_000_000  # scores are summed as whole billionths, so that order d
 BUCKETS = 24
 STEPS = 4  # histogram cells per doubling of a probability
 REMEMBERED = 400_000
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 #: Tokens of the corpus per range of hashes, about: bounds what one task adds up.
 RANGE = 2_000_000
 ONCE = 1 << 63
@@ -70,14 +70,15 @@ def bigram_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def packed(numbers: np.ndarray) -> bytes:
+def packed(numbers: np.ndarray, kind: str = "<u8") -> bytes:
     """Unsigned numbers as all first bytes, all second ones and so on: small ones compress well."""
-    return np.ascontiguousarray(numbers.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+    rows = numbers.astype(kind, copy=False).view(np.uint8).reshape(len(numbers), -1)
+    return np.ascontiguousarray(rows.T).tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+def unpacked(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 class Block:
@@ -92,7 +93,7 @@ class Block:
         self.length = np.array(at["length"].as_py(), np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.known = np.frombuffer(at["known"].as_buffer(), "<u8")
-        self.words = np.frombuffer(at["words"].as_buffer(), "<u4").astype(np.int64)
+        self.words = unpacked(at["words"].as_buffer(), "<u4").astype(np.int64)
         self.contexts = np.concatenate([[0], self.words[:-1]])
         self.contexts[self.starts] = at["first"].as_py()
         self.trained = np.repeat(~np.array(at["held"].as_py(), bool), self.length)
@@ -161,7 +162,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
                 pa.array([ids], pa.list_(id_kind)), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([lengths], pa.list_(pa.int64())), pa.array([firsts.tolist()], pa.list_(pa.int64())),
                 pa.array([known[order].tobytes()], pa.binary()),
-                pa.array([places[: len(places) - len(rows)].tobytes()], pa.binary()),
+                pa.array([packed(places[: len(places) - len(rows)], "<u4")], pa.binary()),
             ]
             number += 1
             return pa.RecordBatch.from_arrays(columns, names)
@@ -399,8 +400,8 @@ def scored(docs: DataFrame) -> DataFrame:
     for part in answers.where("block = -1").select("n").toLocalIterator():
         a, b = unpacked(part["n"])
         total, distinct = total + int(a), distinct + int(b)
-    known = stored(resolved(blocks, answers), "lm-resolved")
-    discard(blocks, answers)
+    # Joined again for each of the two passes: a stored join would take more room than its shuffle.
+    known = resolved(blocks, answers)
     weights = learned_weights(held_out_histogram(known, total), distinct + 1)
     pieces = _summed_by_text(known, total, distinct, weights)
     texts = pieces.groupBy("row").agg(
