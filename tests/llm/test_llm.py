@@ -108,7 +108,7 @@ def test_rows_equal_their_sql(spark, sf_dir, duck, name):
     columns = [c[0] for c in found.description]
     theirs = {r[0]: r for r in found.fetchall()}
     ours = {r[0]: tuple(r) for r in queries.QUERIES[name](spark, sf_dir).select(columns).collect()}
-    assert columns[0] == "doc_id" and ours == theirs
+    assert ours == theirs
 
 
 def test_pipeline_equals_its_stages_by_hand(spark, docs, sf_dir):
@@ -205,17 +205,49 @@ def test_lm_base_scores(docs):
     assert held[1] > held[0]
 
 
-def test_lm_scores_do_not_depend_on_frequent_pairs(odd):
-    runs = [sorted(map(str, ngram_lm.scored(odd, vocabulary_size=6, frequent_size=n).collect())) for n in (0, 3, 1000)]
-    assert runs[0] == runs[1] == runs[2]
-
-
-def test_lm_scores_do_not_depend_on_how_texts_are_split(odd, monkeypatch):
-    run = lambda: sorted(map(str, ngram_lm.scored(odd, vocabulary_size=6).collect()))
-    want, read = run(), ngram_lm.document_bigrams
-    other = lambda docs, *more: read(docs.repartition(3).sortWithinPartitions(F.desc("text")), *more)
-    monkeypatch.setattr(ngram_lm, "document_bigrams", other)
-    assert run() == want
+def _brute_lm(rows):
+    """Interpolated scores over all training words; weights from a brute-force histogram."""
+    tokens = [(r[0], (r[1] or "").encode().lower().split() + [b"\n"]) for r in rows]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    c, pairs = collections.Counter(), collections.Counter()
+    for i, w in tokens:
+        if not held(i):
+            c.update(w)
+            pairs.update(zip([b"\n", *w], w))
+    n, v = sum(c.values()), len(c)
+    cell = lambda a, b: round(4 * math.log2(a / b)) if a > 0 else -9_999
+    bucket = lambda x: min(math.ceil(math.log2(x + 1)), ngram_lm.BUCKETS - 1)
+    cells = collections.Counter()
+    for (a, b), k in pairs.items():
+        cells[bucket(c[a]), cell(k - 1, max(c[a] - 1, 1)), cell(c[b] - 1, max(n - 1, 1))] += k
+    table = np.array([(*key, k) for key, k in sorted(cells.items())], float).reshape(-1, 4)
+    weights = ngram_lm.learned_weights(table, v + 1)
+    for i, w in tokens:
+        score = 0.0
+        for a, b in zip([b"\n", *w], w):
+            m = weights[bucket(c[a])]
+            score += math.log10(m[0] * pairs[a, b] / max(c[a], 1) + m[1] * c[b] / max(n, 1) + m[2] / (v + 1))
+        yield i, held(i), len(w), sum(c[x] > 0 for x in w), n, score
+
+
+@pytest.mark.parametrize("block", [ngram_lm.BLOCK, 50])
+def test_lm_scores_are_those_of_all_words(docs, odd, monkeypatch, block):
+    # Small blocks cut texts and give every word and bigram many questions.
+    monkeypatch.setattr(ngram_lm, "BLOCK", block)
+    for table in (odd, docs):
+        key = lambda r: tuple(map(str, r[:5])) + (round(r[5], 3),)
+        found = sorted(((r[0], r[1], r[2], r[3], r[4], r["score"]) for r in ngram_lm.scored(table).collect()), key=key)
+        want = sorted(_brute_lm([(r["doc_id"], r["text"]) for r in table.collect()]), key=key)
+        assert [r[:5] for r in found] == [r[:5] for r in want]
+        assert all(math.isclose(a[5], b[5], abs_tol=1e-4) for a, b in zip(found, want))
+
+
+def test_lm_block_numbers_round_trip():
+    x = np.array([0, 1, 255, 256, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert (ngram_lm.unpacked(ngram_lm.packed(x)) == x).all() and len(ngram_lm.unpacked(b"")) == 0
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    bounds = ngram_lm._range_bounds(keys, 7)
+    assert bounds[0] == 0 and bounds[-1] == 1000 and (np.diff(bounds) > 90).all()
 
 
 def test_neighbour_recall(spark):
