@@ -106,8 +106,9 @@ def test_jaccard_components(docs):
 def test_rows_equal_their_sql(spark, sf_dir, duck, name):
     found = duck.execute(queries.ORACLES[name])
     columns = [c[0] for c in found.description]
-    theirs = {r[0]: r for r in found.fetchall()}
-    ours = {r[0]: tuple(r) for r in queries.QUERIES[name](spark, sf_dir).select(columns).collect()}
+    by_text = lambda row: tuple(map(str, row))
+    theirs = sorted(found.fetchall(), key=by_text)
+    ours = sorted((tuple(r) for r in queries.QUERIES[name](spark, sf_dir).select(columns).collect()), key=by_text)
     assert ours == theirs
 
 
