@@ -342,8 +342,10 @@ ORACLES["payment_ledger_stream"] = build("select * from ledger", "ledger")
 ORACLES["payment_status_stream"] = build(
     """select order_id, case when max(seq) filter (event in ('payment.captured', 'payment.authorized')) > r then 'captured' when max(seq) filter (event = 'payment.failed') > r then 'failed'
     when r >= 0 then 'refunded' else 'pending' end as status from payment_events join (
-      select order_id, coalesce(max(seq) filter (event = 'refund.processed'), -1) as r from payment_events group by 1) using (order_id) group by order_id, r""", "payment_events")
+      select order_id, coalesce(max(seq) filter (event = 'refund.processed'), -1) as r from payment_events group by 1) using (order_id)
+    where order_id in (select order_id from payment_orders) group by order_id, r""", "payment_events", "payment_orders")
 cte("confirmed", "select *, first_value(order_id) over (partition by payment_id order by seq) as owner, min(seq) over (partition by payment_id) as first_seq from confirmations", "confirmations")
 ORACLES["checkout_confirm"] = build(
     """select seq, order_id, payment_id, case when order_id <> owner then 'rejected' when seq = first_seq then 'recorded' else 'repeated' end as outcome from confirmed""", "confirmed")
+ORACLES["checkout_outcome_stream"] = ORACLES["checkout_confirm"]
 ORACLES["checkout_stream"] = build("select payment_id, arg_min(order_id, seq) as order_id from confirmations group by 1", "confirmations")

@@ -143,6 +143,11 @@ def checkout_confirm(confirmations: DataFrame) -> DataFrame:
     owners = pairs.groupBy("payment_id").agg(
         F.min_by("order_id", "pair_seq").alias("owner"), F.min("pair_seq").alias("owner_seq")
     )
+    return claim_outcomes(confirmations, owners)
+
+
+def claim_outcomes(confirmations: DataFrame, owners: DataFrame) -> DataFrame:
+    """Outcome of each confirmation, given ``(payment_id, owner, owner_seq)``."""
     outcome = (
         F.when(F.col("order_id") != F.col("owner"), "rejected")
         .when(F.col("seq") == F.col("owner_seq"), "recorded")

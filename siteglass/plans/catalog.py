@@ -1069,17 +1069,16 @@ def checkout_confirm(spark, d):
 
 @query
 def payment_status_stream(spark, d):
-    return ledger.run_status(spark, derived(spark, d, "payment_events", stream=True))
+    return ledger.run_status(
+        spark, derived(spark, d, "payment_events", stream=True), derived(spark, d, "payment_orders")
+    )
 
 
 @query
 def payment_ledger_stream(spark, d):
-    rows = ledger.run_ledger(
-        spark,
-        derived(spark, d, "payment_events", stream=True),
-        derived(spark, d, "payment_orders"),
+    return ledger.run_ledger(
+        spark, derived(spark, d, "payment_events", stream=True), derived(spark, d, "payment_orders")
     )
-    return rows.drop("seq")
 
 
 @query
@@ -1089,6 +1088,11 @@ def checkout_stream(spark, d):
     )
 
 
+@query
+def checkout_outcome_stream(spark, d):
+    return ledger.run_outcomes(spark, derived(spark, d, "confirmations", stream=True))
+
+
 @query
 def audit_stream(spark, d):
     issues = page_stream.run_page_issues(spark, crawl_pages(spark, d, stream=True))

@@ -1,106 +1,155 @@
-"""The payment ledger as a stream.
+"""The payment ledger and checkout confirmations as streams, whatever the order of arrival.
 
-``status_stream`` needs no custom state: the state of an order depends only on the
-largest sequence number of each kind of event, which Spark keeps as a plain
-aggregate. ``ledger_stream`` also keeps payer and error fields, a fold per order.
+The stream's state is one set of events for each slice of an order's sequence numbers, and
+each update sends out what the slice does to an order that reaches it open or captured. An
+order's row is its slices applied one after the other. So an event that comes late changes
+its own slice alone, a repeated one changes nothing, and a hot order is spread over slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import payments as P
-from .runs import latest, run_updates, work_folder
-
-_FIELDS = ("status", "payment_id", "email", "contact", "method", "error_code",
-           "error_description", "paid_seq", "last_event")
-_STATE = (
-    "status string, payment_id string, email string, contact string, method string, "
-    "error_code string, error_description string, paid_seq long, last_event string"
+from .runs import latest, run_append, run_updates, work_folder
+
+#: Sequence numbers in a slice: 2 to the power of this.
+SLICE_BITS = 10
+_PAYER = ("payment_id", "email", "contact", "method")
+_EFFECT = (
+    "struct<captured: boolean, status: string, payment_id: string, email: string, contact: string, "
+    "method: string, failed: boolean, error_code: string, error_description: string, "
+    "paid_seq: bigint, last_event: string>"
 )
-_OUTPUT = f"order_id string, {_STATE}, seq long"
 
 
-def status_stream(events: DataFrame) -> DataFrame:
-    """Status per order, updated with every batch (output mode ``update``)."""
+def _known(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Events of known orders; orders are a table, read anew with each batch."""
+    return events.join(orders.select("order_id").distinct(), "order_id", "left_semi")
+
+
+def status_stream(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Status per order, updated with every batch (output mode ``update``).
+
+    The status depends only on the largest sequence number of each kind of event.
+    """
     kind, seq = P.event_kind(F.col("event")), F.col("seq")
     last = {k: F.max(F.when(kind == k, seq)) for k in (P.REFUNDED, P.CAPTURED, P.FAILED)}
-    grouped = events.groupBy("order_id").agg(*[c.alias(f"last_{k}") for k, c in last.items()])
+    grouped = _known(events, orders).groupBy("order_id").agg(
+        *[c.alias(f"last_{k}") for k, c in last.items()]
+    )
     status = P.ledger_status(
         F.col(f"last_{P.REFUNDED}"), F.col(f"last_{P.CAPTURED}"), F.col(f"last_{P.FAILED}")
     )
     return grouped.select("order_id", status.alias("status"))
 
 
-def fold_event(state: dict, event: dict) -> dict:
-    """One event onto an order's state; a capture holds until a refund."""
-    name = event["event"]
-    if name in P.CAPTURE_EVENTS or name == P.FAILURE_EVENT:
-        if state["status"] == P.CAPTURED:
-            return state
-        kept = {f: event[f] or state[f] for f in ("payment_id", "email", "contact", "method")}
-        state = {**state, **kept, "last_event": name}
-        if name == P.FAILURE_EVENT:
-            text = event["error_description"] or P.DEFAULT_ERROR
-            return {**state, "status": P.FAILED, "error_code": event["error_code"], "error_description": text}
-        return {**state, "status": P.CAPTURED, "paid_seq": event["seq"]}
-    if name == P.REFUND_EVENT:
-        return {**state, "status": P.REFUNDED, "last_event": name}
-    return {**state, "last_event": name}
-
-
-def _fold_group(
-    key: tuple, batches: Iterator[pd.DataFrame], group: GroupState
-) -> Iterator[pd.DataFrame]:
-    values = group.get if group.exists else (P.PENDING,) + (None,) * (len(_FIELDS) - 1)
-    state = dict(zip(_FIELDS, values))
-    rows = pd.concat(list(batches)).sort_values("seq")
-    rows = rows.astype(object).where(rows.notna(), None)
-    for event in rows.to_dict("records"):
-        state = fold_event(state, event)
-    group.update(tuple(state[f] for f in _FIELDS))
-    out = pd.DataFrame([{"order_id": key[0], **state, "seq": int(rows["seq"].iloc[-1])}])
-    types = {c: "string" for c in ("order_id", *_FIELDS)}
-    yield out.astype({**types, "paid_seq": "Int64"})
+def _effect(events: Column, captured: bool) -> Column:
+    """What events in order do to an order that is captured before them, or open.
+
+    Null fields are left as they were before.
+    """
+    nothing = F.from_json(F.lit('{"failed": false}'), _EFFECT)
+    start = nothing.withField("captured", F.lit(captured))
+
+    def step(state: Column, event: Column) -> Column:
+        kind = P.event_kind(event["event"])
+        paid = kind.isin(P.CAPTURED, P.FAILED)
+        applies = paid & ~state["captured"]
+        fails = applies & (kind == P.FAILED)
+        own = lambda c: F.when(applies, F.coalesce(event[c], state[c])).otherwise(state[c])
+        text = F.coalesce(event["error_description"], F.lit(P.DEFAULT_ERROR))
+        changed = applies | (kind == P.REFUNDED)
+        fields = {
+            "captured": F.when(kind == P.CAPTURED, True).when(kind == P.REFUNDED, False).otherwise(state["captured"]),
+            "status": F.when(changed, kind).otherwise(state["status"]),
+            **{c: own(c) for c in _PAYER},
+            "failed": state["failed"] | fails,
+            "error_code": F.when(fails, event["error_code"]).otherwise(state["error_code"]),
+            "error_description": F.when(fails, text).otherwise(state["error_description"]),
+            "paid_seq": F.when(applies & (kind == P.CAPTURED), event["seq"]).otherwise(state["paid_seq"]),
+            "last_event": F.when(paid & ~applies, state["last_event"]).otherwise(event["event"]),
+        }
+        return F.struct(*[c.alias(name) for name, c in fields.items()]).cast(_EFFECT)
+
+    return F.aggregate(events, start, step)
 
 
 def ledger_stream(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Full ledger rows per order and batch; events of unknown orders are ignored.
+    """Effects of each slice of an order (output mode ``update``); apply them by ``ledger_of``.
 
-    Order inside a batch is by ``seq``; across batches it is arrival order.
+    A slice holds as many events at most as it has sequence numbers.
+    """
+    columns = ("seq", "event", *_PAYER, "error_code", "error_description")
+    kept = F.collect_set(F.struct(*columns)).alias("events")
+    part = F.shiftright("seq", SLICE_BITS).alias("slice")
+    slices = _known(events, orders).groupBy("order_id", part).agg(kept)
+    own = F.array_sort("events")
+    settles = F.exists("events", lambda e: P.event_kind(e["event"]).isin(P.CAPTURED, P.REFUNDED))
+    return slices.select(
+        "order_id", "slice", settles.alias("settles"),
+        _effect(own, False).alias("open"), _effect(own, True).alias("taken"),
+    )
+
+
+def ledger_of(slices: DataFrame, orders: DataFrame) -> DataFrame:
+    """Ledger rows of all orders from the latest effects of their slices; quiet ones are pending.
+
+    A slice with a capture or refund leaves the same state whatever was before it; so how a
+    slice is reached is told by the last such slice before.
     """
-    known = events.join(orders.select("order_id").distinct(), "order_id", "left_semi")
-    return known.groupBy("order_id").applyInPandasWithState(
-        _fold_group, _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
+    before = Window.partitionBy("order_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = F.when(F.col("settles"), F.col("open.captured"))
+    captured = F.coalesce(F.last(leaves, ignorenulls=True).over(before), F.lit(False))
+    applied = slices.select("order_id", "slice", F.when(captured, F.col("taken")).otherwise(F.col("open")).alias("e"))
+
+    def last(name: str, given: Column) -> Column:
+        return F.max_by(F.col(f"e.{name}"), F.when(given, F.col("slice"))).alias(name)
+
+    plain = ("status", *_PAYER, "paid_seq", "last_event")
+    state = applied.groupBy("order_id").agg(
+        *[last(c, F.col(f"e.{c}").isNotNull()) for c in plain],
+        *[last(c, F.col("e.failed")) for c in ("error_code", "error_description")],
     )
+    known = orders.select("order_id").distinct()
+    return known.join(state, "order_id", "left").withColumn("status", F.coalesce("status", F.lit(P.PENDING)))
+
+
+def owner_stream(confirmations: DataFrame) -> DataFrame:
+    """The first claim of each payment id: its order and sequence number (mode ``update``)."""
+    first = [F.min_by("order_id", "seq").alias("owner"), F.min("seq").alias("owner_seq")]
+    return confirmations.groupBy("payment_id").agg(*first)
 
 
 def confirmation_stream(confirmations: DataFrame) -> DataFrame:
     """The order that owns each payment id: the one that brought it first."""
-    owner = F.min_by("order_id", "seq").alias("order_id")
-    return confirmations.groupBy("payment_id").agg(owner)
+    return owner_stream(confirmations).select("payment_id", F.col("owner").alias("order_id"))
 
 
-def run_status(spark: SparkSession, events: DataFrame) -> DataFrame:
+def run_status(spark: SparkSession, events: DataFrame, orders: DataFrame) -> DataFrame:
     folder = work_folder(spark, "status")
-    return latest(run_updates(status_stream(events), folder), ["order_id"])
+    return latest(run_updates(status_stream(events, orders), folder), ["order_id"])
 
 
 def run_ledger(spark: SparkSession, events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Ledger of all orders after the stream is drained; quiet orders are pending."""
+    """Ledger of all orders after the stream is drained."""
     folder = work_folder(spark, "ledger")
-    state = latest(run_updates(ledger_stream(events, orders), folder), ["order_id"])
-    known = orders.select("order_id").distinct()
-    return known.join(state, "order_id", "left").withColumn(
-        "status", F.coalesce("status", F.lit(P.PENDING))
-    )
+    slices = latest(run_updates(ledger_stream(events, orders), folder), ["order_id", "slice"])
+    return ledger_of(slices, orders)
 
 
 def run_confirmations(spark: SparkSession, confirmations: DataFrame) -> DataFrame:
     updates = run_updates(confirmation_stream(confirmations), work_folder(spark, "confirm"))
     return latest(updates, ["payment_id"])
+
+
+def run_outcomes(spark: SparkSession, confirmations: DataFrame) -> DataFrame:
+    """Outcome of each confirmation after the stream is drained.
+
+    Confirmations are appended as they come, claims are kept as state. An earlier claim that
+    comes late changes the owner, and with it what the stored confirmations turn out to be.
+    """
+    owners = run_updates(owner_stream(confirmations), work_folder(spark, "owners"))
+    events = run_append(confirmations.select("seq", "order_id", "payment_id"), work_folder(spark, "claims"))
+    return P.claim_outcomes(events, latest(owners, ["payment_id"]))
