@@ -6,11 +6,12 @@ from siteglass import dims
 from siteglass.operators.recommend import (
     DEVELOPER_NOTES, HOW_TO_FIX, PLAN_FALLBACK, REQUEST_HEAD, SUMMARY_FALLBACK, WHY_IT_MATTERS,
 )
+from siteglass.operators.rule_texts import SITE_TEXTS
 from siteglass.plans.catalog import PAID_TODAY, TODAY
 
-from .base import build, cte, fill, fixed, jsround, q
+from .base import build, cte, fill, fixed, jsround, q, trimmed
 from .page_queries import HEADER_GRADE, HEADER_NAMES, RANK, groups_sql, header_tests
-from .site_queries import GRADE_SCORE, _ftx
+from .site_queries import GRADE_SCORE, _ftx, site_rules
 
 ORACLES: dict[str, str] = {}
 
@@ -349,3 +350,16 @@ ORACLES["checkout_confirm"] = build(
     """select seq, order_id, payment_id, case when order_id <> owner then 'rejected' when seq = first_seq then 'recorded' else 'repeated' end as outcome from confirmed""", "confirmed")
 ORACLES["checkout_outcome_stream"] = ORACLES["checkout_confirm"]
 ORACLES["checkout_stream"] = build("select payment_id, arg_min(order_id, seq) as order_id from confirmations group by 1", "confirmations")
+_found = lambda key, severity, url, *values: (
+    f"select site_key, '{key}' as issue_key, '{severity}' as severity, {fill(SITE_TEXTS[key].description, *values)} as description, {url} as affected_url")
+_same = lambda column: f"from s_sig where {column} is not null group by site_key, lower({trimmed(column)}) having count(*) > 1"
+ORACLES["site_state_stream"] = build(
+    "select site_key, issue_key, severity, description, affected_url from ("
+    + site_rules("n as crawled, 'any' as robots, true as sitemap")
+    + ") union all " + _found("dup-titles", "critical", "arg_min(url, page_id)", "count(*)") + " " + _same("title")
+    + " union all " + _found("dup-metas", "warning", "arg_min(url, page_id)", "count(*)") + " " + _same("meta_description")
+    + " union all " + _found("orphan-page", "warning", "url", "url")
+    + """ from (select site_key, n, arg_max(url, page_id) as url, bool_or(is_homepage) as home from norm_pages group by 1, 2) a
+    where not home and (select count(*) from s_sig b where b.site_key = a.site_key) > 1
+    and not exists (select 1 from norm_pages b where b.site_key = a.site_key and b.n <> a.n and list_contains(b.targets, a.n))""",
+    "linking", "norm_pages", "s_sig")

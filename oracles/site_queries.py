@@ -94,7 +94,7 @@ ORACLES["crawl_failures"] = f"""select {site_key('url')} as site_key, page_id, '
   concat(url, '&failed') as affected_url from pages"""
 
 
-def _site_rules(extra: str) -> str:
+def site_rules(extra: str) -> str:
     """Robots, sitemap, coverage and linking rules over ``linking`` as ``f``."""
     cols = "site_key"
     parts = [
@@ -111,10 +111,10 @@ def _site_rules(extra: str) -> str:
 # Every supplied page also failed once under another URL, so crawls count double.
 ORACLES["site_rules"] = build(
     "select site_key, issue_key, category, severity, description, affected_url from ("
-    + _site_rules("2 * n as crawled, case length(site_key) % 3 when 1 then 'User-agent: *' end as robots, length(site_key) % 2 = 0 as sitemap")
+    + site_rules("2 * n as crawled, case length(site_key) % 3 when 1 then 'User-agent: *' end as robots, length(site_key) % 2 = 0 as sitemap")
     + ")", "linking")
 ORACLES["site_rules_stream"] = build(
-    "select site_key, issue_key, severity, description from (" + _site_rules("n as crawled, null as robots, false as sitemap") + ")", "linking")
+    "select site_key, issue_key, severity, description from (" + site_rules("n as crawled, 'any' as robots, true as sitemap") + ")", "linking")
 ORACLES["probe_rules"] = build(
     """select p.site_key, 'no-https-redirect' as issue_key, 'warning' as severity, base_url as affected_url from probes p join sites s using (site_key)
     where not https_enforced and starts_with(base_url, 'https://') union all

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_homepage_path, normalize_page_url
+from ..session import discard, saved
 from .rule_texts import SITE_TEXTS
 from .rules import ISSUE_COLUMNS, STAGE_GRAPH, STAGE_PAGE, Rule, apply_rules
-from .skew import join_hot
 
 # Links checked per page, and more for the home page.
 SAMPLE_LINKS, SAMPLE_HOME_EXTRA = 25, 15
@@ -57,18 +54,15 @@ def unique_pages(pages: DataFrame) -> DataFrame:
 def edges_to_pages(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Links whose target was crawled, without links from a page to itself.
 
-    Every page of a site tends to link to the same few targets, so the join is
-    spread over salts.
+    Every page of a site tends to link to the same few targets. Adaptive execution splits
+    such hot targets where there are any; the page side is not copied for the rest.
     """
     targets = unique_pages(pages).select(
         "site_key", F.col("norm_url").alias("target_url"), F.col("page_id").alias("dst_id")
     )
-    return join_hot(
-        edges.where(F.col("src_url") != F.col("target_url")),
-        targets,
-        ["site_key", "target_url"],
-        F.col("src_id"),
-    ).select("site_key", "src_id", "pos", "target_url", "dst_id")
+    others = edges.where(F.col("src_url") != F.col("target_url"))
+    joined = others.join(targets, ["site_key", "target_url"])
+    return joined.select("site_key", "src_id", "pos", "target_url", "dst_id")
 
 
 def _inbound(edges: DataFrame) -> DataFrame:
@@ -96,11 +90,19 @@ def orphan_pages(edges: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFr
     """
     crawled = unique_pages(pages).join(_inbound(edges), ["site_key", "norm_url"], "left_anti")
     many = pages.groupBy("site_key").agg(F.count(F.lit(1)).alias("n_pages"))
-    site = sites.join(many.where(F.col("n_pages") > 1), "site_key").select(
+    return orphans_among(crawled, sites.join(many, "site_key"))
+
+
+def orphans_among(unlinked: DataFrame, sites: DataFrame) -> DataFrame:
+    """Pages without inbound links that are neither home page nor alone on their site.
+
+    ``sites`` is ``(site_key, base_url, n_pages)``.
+    """
+    several = sites.where(F.col("n_pages") > 1).select(
         "site_key", normalize_page_url(F.col("base_url")).alias("base_norm")
     )
     return (
-        join_hot(crawled, site, ["site_key"], F.col("page_id"))
+        unlinked.join(several, "site_key")
         .where((F.col("norm_url") != F.col("base_norm")) & ~is_homepage_path(F.col("url")))
         .drop("base_norm")
     )
@@ -143,46 +145,45 @@ def exclude_seen(links: DataFrame, seen: DataFrame) -> DataFrame:
 def sample_links(
     links: DataFrame, n: int = SAMPLE_LINKS, home_extra: int = SAMPLE_HOME_EXTRA
 ) -> DataFrame:
-    """The sample of a live crawl: per page the first ``n`` links not picked before.
+    """The sample of a live crawl: per page the first ``n`` links not picked by earlier pages.
 
     The home page gets a second round. Links that a page leaves out stay open to later
-    pages, which makes the choice a fold over the pages of a site. Every page takes part:
-    the rows of a site pass in order through one task, which keeps nothing of them but
-    the links picked so far, at most ``n`` a page.
+    pages. The choice is found in rounds: every page claims its first links that are still
+    open, each link of a site goes to the earliest page that claims it and closes for all
+    later ones, and pages that lost a claim go on to their next links. When no claim is
+    lost, the claims are the choice. Each round closes at least one link of every page that
+    lost, so there are no more rounds than the longest page has links. Order is kept per
+    page and per link only; no site passes through one task.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        site = page = None
-        seen: set[str] = set()
-        mine: tuple[set[str], set[str]] = (set(), set())
-        left = [0, 0]
-        for pdf in batches:
-            rounds = []
-            for s, p, home, url in zip(pdf["site_key"], pdf["page_seq"], pdf["is_homepage"], pdf["url"]):
-                if s != site or p != page:
-                    if s == site:
-                        seen.update(*mine)
-                    else:
-                        seen = set()
-                    site, page, mine = s, p, (set(), set())
-                    left = [n, home_extra if home else 0]
-                taken = 0
-                if url not in seen:
-                    if left[0]:
-                        taken = 1
-                    elif left[1] and url not in mine[0]:
-                        taken = 2
-                if taken:
-                    left[taken - 1] -= 1
-                    mine[taken - 1].add(url)
-                rounds.append(taken)
-            out = pdf.assign(round=rounds)
-            yield out.loc[out["round"] > 0, ["site_key", "page_id", "page_seq", "pos", "url", "round"]]
-
-    schema = "site_key string, page_id long, page_seq long, pos int, url string, round int"
-    slim = links.select("site_key", "page_id", "page_seq", "is_homepage", "pos", "url")
-    ordered = slim.repartition("site_key").sortWithinPartitions("site_key", "page_seq", "pos")
-    return ordered.mapInPandas(fold, schema)
+    c = F.col
+    open_ = saved(links.select("site_key", "page_id", "page_seq", "is_homepage", "pos", "url"), "open-links")
+    while True:
+        claims = saved(_claims(open_, n, home_extra), "claims")
+        holders = claims.groupBy("site_key", "url").agg(F.min("page_seq").alias("holder"))
+        lost = claims.join(holders, ["site_key", "url"]).where(c("page_seq") > c("holder"))
+        if lost.isEmpty():
+            discard(open_)
+            return claims
+        # A holder can only be followed by an earlier page: later ones lose the link for good.
+        left = open_.join(holders, ["site_key", "url"], "left")
+        left = left.where(c("holder").isNull() | (c("page_seq") <= c("holder"))).drop("holder")
+        remaining = saved(left, "open-links")
+        discard(open_, claims)
+        open_ = remaining
+
+
+def _claims(open_links: DataFrame, n: int, home_extra: int) -> DataFrame:
+    """Each page's first ``n`` open links, for a home page further ones in a second round."""
+    c = F.col
+    page = Window.partitionBy("site_key", "page_seq")
+    ranked = open_links.withColumn("_rank", F.row_number().over(page.orderBy("pos")))
+    # A link that the first round took is no link for the second.
+    first = F.min("_rank").over(Window.partitionBy("site_key", "page_seq", "url")) <= n
+    rounds = ranked.where((c("_rank") <= n) | c("is_homepage")).withColumn("_again", first & (c("_rank") > n))
+    later = F.row_number().over(page.orderBy(c("_again"), c("_rank")))
+    rounds = rounds.withColumn("_later", later).where(~c("_again") & (c("_later") <= n + home_extra))
+    took = F.when(c("_rank") <= n, 1).otherwise(2)
+    return rounds.select("site_key", "page_id", "page_seq", "pos", "url", took.alias("round"))
 
 
 def link_status(links: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -258,7 +258,8 @@ def crawl_failures(failures: DataFrame) -> DataFrame:
 def crawl_site_issues(facts: DataFrame) -> DataFrame:
     """Robots, sitemap, coverage and site-wide linking findings.
 
-    ``facts`` is ``site_facts`` with ``robots_txt`` and ``sitemap_found`` joined in.
+    ``facts`` is ``site_facts``, with ``robots_txt`` and ``sitemap_found`` joined in where they
+    were looked at: without the column a site was not checked, with null it has none.
     """
     n = F.col("n_crawled")
     url = F.col("base_url")
@@ -267,8 +268,11 @@ def crawl_site_issues(facts: DataFrame) -> DataFrame:
     def rule(key: str, when: Column, severity: str, *values: Column) -> Rule:
         return Rule(key, when, severity, SITE_TEXTS[key], values)
 
-    no_robots = F.coalesce("robots_txt", F.lit("")) == ""
-    no_sitemap = ~F.coalesce("sitemap_found", F.lit(False))
+    no_robots, no_sitemap = F.lit(False), F.lit(False)
+    if "robots_txt" in facts.columns:
+        no_robots = F.coalesce("robots_txt", F.lit("")) == ""
+    if "sitemap_found" in facts.columns:
+        no_sitemap = ~F.coalesce("sitemap_found", F.lit(False))
     files = [
         rule("no-robots", no_robots, "warning"),
         rule("no-sitemap", no_sitemap, "warning"),

@@ -1104,3 +1104,10 @@ def site_rules_stream(spark, d):
     return page_stream.run_site_issues(spark, crawl_pages(spark, d, stream=True)).select(
         "site_key", "issue_key", "severity", "description"
     )
+
+
+@query
+def site_state_stream(spark, d):
+    """All site findings off the merged state of the streams: facts, equal texts, links."""
+    state = page_stream.SiteState(spark, crawl_pages(spark, d, stream=True))
+    return state.issues().select("site_key", "issue_key", "severity", "description", "affected_url")

@@ -44,7 +44,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    back = df.sparkSession.read.schema(df.schema).parquet(folder)
+    back.stored_in = folder
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``saved`` that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_small(df: DataFrame) -> DataFrame:

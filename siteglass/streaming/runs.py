@@ -21,7 +21,9 @@ def run_append(stream: DataFrame, folder: str) -> DataFrame:
         .start()
     )
     running.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    rows.stored_in = f"{folder}/out"
+    return rows
 
 
 def run_updates(stream: DataFrame, folder: str) -> DataFrame:
@@ -42,7 +44,9 @@ def run_updates(stream: DataFrame, folder: str) -> DataFrame:
     )
     running.awaitTermination()
     schema = stream.schema.add("batch_id", "long")
-    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
+    rows.rows_read = [p.numInputRows for p in running.recentProgress if p.numInputRows]
+    return rows
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:

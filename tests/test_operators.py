@@ -180,3 +180,37 @@ def test_a_document_start_counts_wherever_it_stands(spark):
     df = spark.createDataFrame([(t,) for t in texts], "html string")
     got = [r[0] for r in df.select(signals.looks_like_html(F.col("html"))).collect()]
     assert got == [True, False, False]
+
+
+def _sampled(rows, n, extra):
+    """Page after page of a site: the first links that no earlier page picked."""
+    pages, seen, out = {}, {}, []
+    for site, page, home, pos, url in sorted(rows):
+        pages.setdefault((site, page), []).append((pos, url, home))
+    for (site, page), own in sorted(pages.items()):
+        fresh = [(pos, url) for pos, url, _ in own if url not in seen.setdefault(site, set())]
+        first = fresh[:n]
+        second = [x for x in fresh if x[1] not in {u for _, u in first}][:extra] if own[0][2] else []
+        seen[site] |= {u for _, u in first + second}
+        out += [(site, page, pos, url, 1) for pos, url in first] + [(site, page, pos, url, 2) for pos, url in second]
+    return sorted(out)
+
+
+def test_sampled_links_equal_the_fold(spark):
+    draw = random.Random(8)
+    rows = [
+        (f"s{draw.choice([0, 0, 0, 1, 2])}", page, page % 4 == 0, pos, f"u{int(draw.random() ** 2 * 25)}")
+        for page in range(40) for pos in range(draw.randint(0, 9))
+    ]
+    rows = [(f"s{page % 3 and 1}", page, home, pos, url) for _, page, home, pos, url in rows]
+    table = spark.createDataFrame(
+        [(s, p, p, h, pos, u) for s, p, h, pos, u in rows],
+        "site_key string, page_id long, page_seq long, is_homepage boolean, pos int, url string",
+    )
+    for n, extra in ((2, 3), (1, 0), (50, 5)):
+        found = links.sample_links(table, n, extra)
+        got = sorted((r["site_key"], r["page_seq"], r["pos"], r["url"], r["round"]) for r in found.collect())
+        assert got == _sampled(rows, n, extra)
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+    assert links.sample_links(table.limit(0)).count() == 0

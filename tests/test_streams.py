@@ -77,3 +77,42 @@ def test_outcomes_follow_a_late_earlier_claim(spark, tmp_path):
     stream = stream_of(spark, tmp_path / "claims", rows, schema, batches=5)
     found = ledger.run_outcomes(spark, stream).orderBy("seq").collect()
     assert found == want and {r["outcome"] for r in found} == {"recorded", "repeated", "rejected"}
+
+
+def test_site_findings_from_merged_state(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from siteglass.operators import links, sites
+    from siteglass.operators.rules import union_issues
+    from siteglass.operators.signals import extract_signals, looks_like_html
+    from siteglass.streaming.pages import SiteState
+
+    link = lambda *ids: "".join(f"<a href='/{i}'>x</a>" for i in ids)
+    rows = [
+        (i, f"https://s{i % 3}.example/{i if i > 2 else ''}", f"<html><head><title>t{i % 4}</title>"
+         f"<meta name='description' content='d{i % 5}'></head><body>{'word ' * 200}{link(i + 3, i + 6)}</body></html>")
+        for i in [*range(24), 50]
+    ] + [(90, "https://s0.example/x", "no page"), (91, "https://s1.example/y", None)]
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame(rows, schema)
+    signals = extract_signals(pages.where(looks_like_html(F.col("html"))))
+    facts = sites.site_facts(signals)
+    want = union_issues(
+        sites.duplicate_issues(sites.duplicate_values(signals, "title"), "dup-titles"),
+        sites.duplicate_issues(sites.duplicate_values(signals, "meta_description"), "dup-metas"),
+        sites.crawl_site_issues(facts),
+        links.orphan_issues(
+            links.orphan_pages(links.link_edges(signals), links.page_urls(signals), facts.select("site_key", "base_url"))
+        ),
+    )
+    # The home pages, first in order, may come last.
+    stream = stream_of(spark, tmp_path / "pages", rows, schema, batches=3)
+    state = SiteState(spark, stream, files_per_batch=1)
+    order = ["site_key", "issue_key", "affected_url"]
+    found = state.issues()
+    assert found.orderBy(order).collect() == want.orderBy(order).collect()
+    keys = {r["issue_key"] for r in want.collect()}
+    assert keys >= {"dup-titles", "dup-metas", "orphan-page", "low-schema-coverage"}
+    # Every batch reads the pages of one file, not those before.
+    for updates in state.batches.values():
+        assert len(updates.rows_read) == 3 and sum(updates.rows_read) == 25
