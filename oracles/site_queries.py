@@ -362,3 +362,20 @@ ORACLES["refresh_slice"] = build(
 ORACLES["refresh_vitals"] = build(
     """select site_key, issue_key, severity, title from stored_issues where not (case when issue_key is not null then regexp_matches(issue_key, '^(crux-|pagespeed-|cwv-|lh-)')
     else regexp_matches(title, '(?i)PageSpeed|CrUX|LCP|CLS|INP|Lighthouse|Core Web Vitals') end)""", "stored_issues")
+cte("refreshed_issues", f"""select cast(regexp_extract(site_key, '^c([0-9]+)', 1) as bigint) as audit_id, * from (
+    select site_key, issue_key, severity, title, affected_url from stored_issues
+      where cast(regexp_extract(site_key, '^c([0-9]+)', 1) as bigint) % 4 <> 0 or not ({_dns_old})
+    union all select * from (""" + " union all ".join([
+        _new("dns-no-spf", "not has_spf"), _new("dns-no-dmarc", "not has_dmarc"), _new("dns-dmarc-none", "has_dmarc and dmarc_policy = 'none'"),
+        _new("dns-no-mx", "true"), _new("dns-no-ipv6", "not has_ipv6")]) + """) where cast(regexp_extract(site_key, '^c([0-9]+)', 1) as bigint) % 4 = 0)""",
+    "stored_issues", "new_dns")
+_worst = "min(case severity when 'critical' then 1 when 'warning' then 2 else 3 end)"
+cte("refreshed_totals", f"""select audit_id, sum(n)::bigint as total_issues, count(*) filter (worst = 1) as critical_count,
+      count(*) filter (worst = 2) as warning_count, count(*) filter (worst = 3) as notice_count
+    from (select audit_id, coalesce(issue_key, title) as k, count(*) as n, {_worst} as worst from refreshed_issues where audit_id % 4 = 0 group by 1, 2)
+    group by 1""", "refreshed_issues")
+ORACLES["refresh_stored_audits"] = build(
+    """select audit_id, site_key, issue_key, severity, title, case when affected_url = base_url then audit_id * 10 end as page_id,
+      total_issues, critical_count, warning_count, notice_count
+    from refreshed_issues join sites using (site_key) left join refreshed_totals using (audit_id)""",
+    "refreshed_issues", "refreshed_totals", "sites")

@@ -68,19 +68,25 @@ def set_external(facts: DataFrame, name: str, table: DataFrame, columns: tuple[s
 
 
 def refresh_integration(
-    issues: DataFrame, facts: DataFrame, integration: str, new_issues: DataFrame
+    issues: DataFrame,
+    facts: DataFrame | None,
+    integration: str,
+    new_issues: DataFrame,
+    sites: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Findings after the refresh, and one summary row per site.
 
     ``facts`` holds the refreshed payload columns. The summary has the raw finding
-    count, the number of groups per severity, and the new scores.
+    count, the number of groups per severity, and the new scores. Without ``facts`` there
+    are no scores, and ``sites`` (``site_key``) says which sites to sum up.
     """
     kept = replace_slice(issues, integration, new_issues)
     keyed = kept.withColumn("issue_key", F.coalesce("issue_key", "title"))
     counts = severity_counts(group_issues(keyed))
     totals = kept.groupBy("site_key").agg(F.count(F.lit(1)).alias("total_issues"))
     zero = F.lit(0).cast("long")
-    summary = category_scores(facts).join(totals, "site_key", "left").join(counts, "site_key", "left")
+    scored = sites if facts is None else category_scores(facts)
+    summary = scored.join(totals, "site_key", "left").join(counts, "site_key", "left")
     filled = {c: F.coalesce(c, zero) for c in ("total_issues", *[f"{s}_count" for s in dims.SEVERITIES])}
     return kept, summary.withColumns(filled).drop("total_unique")
 

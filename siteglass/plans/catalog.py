@@ -30,7 +30,8 @@ from ..operators import (
     usage,
 )
 from ..operators.signals import extract_signals
-from ..session import saved, spread_small
+from ..session import saved, spread_small, work_folder
+from ..sources import tables
 from ..sources.derived import crawl_pages, derived, supplied
 from ..streaming import ledger, pages as page_stream
 from .audit import home_headers, score_facts
@@ -854,6 +855,30 @@ def refresh_scores(spark, d):
     return scoring.category_scores(fresh)
 
 
+@query
+def refresh_stored_audits(spark, d):
+    """Saved audits of all customers, a quarter of them refreshed in place, with their totals."""
+    number = F.regexp_extract("site_key", r"^c(\d+)\.", 1).cast("long")
+    issues, urls = _customer_issues(spark, d)
+    zero = F.lit(None).cast("long")
+    counts = [zero.alias(c) for c in ("total_issues", "critical_count", "warning_count", "notice_count")]
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (number % 12).cast("int"))
+    audits = urls.select("site_key", number.alias("audit_id"), day.cast("timestamp").alias("created_at"), *counts)
+    pages = urls.select(
+        number.alias("audit_id"), (number * 10).alias("page_id"), number.alias("page_seq"), F.col("base_url").alias("url")
+    )
+    root = work_folder(spark, "audits")
+    tables.write_audit(audits, pages, issues.withColumn("audit_id", number), root, run="march")
+    touched = audits.where(F.col("audit_id") % 4 == 0)
+    found = _new_dns_issues(spark, d).withColumn("audit_id", number)
+    tables.refresh_audits(spark, root, "dns", touched, found)
+    stored, summaries = (spark.read.parquet(f"{root}/{n}") for n in ("issues", "audits"))
+    totals = summaries.select("audit_id", "total_issues", "critical_count", "warning_count", "notice_count")
+    return stored.join(totals, "audit_id").select(
+        "audit_id", "site_key", "issue_key", "severity", "title", "page_id", *totals.columns[1:]
+    )
+
+
 @query
 def delete_audits(spark, d):
     history = derived(spark, d, "audit_history")

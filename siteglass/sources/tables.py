@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import site_key
-from ..operators.refresh import delete_audits
+from ..operators.refresh import delete_audits, refresh_integration
 from ..operators.report import attach_page_id
+from ..session import discard, saved
 from . import schemas
 
 
@@ -70,26 +73,96 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def write_audit(audits: DataFrame, pages: DataFrame, issues: DataFrame, root: str) -> None:
-    """Append one run: pages, then findings with their page id, then the summaries.
+def write_audit(audits: DataFrame, pages: DataFrame, issues: DataFrame, root: str, run: str = "first") -> None:
+    """Write one run: pages, then findings with their page id, then the summaries.
 
-    Tables are partitioned by ``audit_date`` so refresh and delete touch few files.
+    Tables are partitioned by ``run`` and ``audit_date`` so refresh and delete touch few files.
+    A run replaces what an earlier attempt of the same run left.
     """
-    dates = audits.select("audit_id", F.to_date("created_at").alias("audit_date"))
+    if not re.fullmatch(r"[A-Za-z][\w-]*", run):
+        raise ValueError("a run's name begins with a letter and has letters, digits, _ and - only")
+    day = F.coalesce(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
+    dates = audits.select("audit_id", day.alias("audit_date"))
 
     def save(df: DataFrame, name: str) -> None:
         dated = df.join(dates, "audit_id")
-        dated.write.mode("append").partitionBy("audit_date").parquet(f"{root}/{name}")
+        dated.write.mode("overwrite").partitionBy("audit_date").parquet(f"{root}/{name}/run={run}")
 
     save(pages, "pages")
     save(attach_page_id(issues, pages), "issues")
     save(audits, "audits")
 
 
+PARTITION = ["run", "audit_date"]
+
+
+def _overwrite(rows: DataFrame, partitions: DataFrame, path: str) -> None:
+    """Replace the given partitions by ``rows``, which must be stored elsewhere; others stay."""
+    options = {"partitionOverwriteMode": "dynamic"}
+    rows.write.mode("overwrite").options(**options).partitionBy(*PARTITION).parquet(path)
+    # A partition that lost all its rows is not in what was written. One row per day and run.
+    emptied = partitions.join(rows.select(*PARTITION).distinct(), PARTITION, "left_anti").collect()
+    context = rows.sparkSession.sparkContext
+    for part in emptied:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/run={part['run']}/audit_date={part['audit_date']}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def refresh_audits(
+    spark: SparkSession,
+    root: str,
+    integration: str,
+    touched: DataFrame,
+    new_issues: DataFrame,
+    facts: DataFrame | None = None,
+) -> DataFrame:
+    """Replace an integration's findings in the saved audits ``touched`` (``audit_id``).
+
+    ``new_issues`` are its findings now, with ``audit_id``; audits without any lose the old ones.
+    Only partitions with a touched audit are read and rewritten, and only touched audits are
+    grouped and, with ``facts`` (by ``audit_id``, refreshed payloads included), scored again.
+    Returns the new summary rows. An attempt that broke off may be repeated.
+    """
+    audits, issues, pages = (spark.read.parquet(f"{root}/{n}") for n in ("audits", "issues", "pages"))
+    place = saved(
+        audits.join(touched.select("audit_id").distinct(), "audit_id", "left_semi").select("audit_id", *PARTITION),
+        "touched",
+    )
+    partitions = place.select(*PARTITION).distinct()
+    inside = lambda df: df.join(partitions, PARTITION, "left_semi")
+    old = inside(issues)
+    mine = old.join(place.select("audit_id"), "audit_id", "left_semi")
+    fresh = attach_page_id(new_issues, inside(pages)).join(place, "audit_id")
+
+    # Audits take the place of sites: a site may have several.
+    own = F.col("audit_id").cast("string")
+    keyed = lambda df: df.withColumn("_site", F.col("site_key")).withColumn("site_key", own)
+    base = keyed(place.withColumn("site_key", own)).select("site_key")
+    scored = None if facts is None else facts.join(place.select("audit_id"), "audit_id", "left_semi")
+    kept, summary = refresh_integration(
+        keyed(mine), None if scored is None else keyed(scored), integration, keyed(fresh), base
+    )
+    kept = kept.withColumn("site_key", F.col("_site")).drop("_site")
+    others = old.join(place.select("audit_id"), "audit_id", "left_anti")
+    rows = saved(others.unionByName(kept, allowMissingColumns=True).select(issues.columns), "refreshed")
+
+    results = saved(summary, "summaries")
+    replaced = [c for c in results.columns if c != "site_key" and c in audits.columns]
+    named = results.select(F.col("site_key").alias("_audit"), F.struct(*replaced).alias("_new"))
+    joined = inside(audits).join(named, own == F.col("_audit"), "left")
+    values = {c: F.when(F.col("_audit").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in replaced}
+    summaries = saved(joined.withColumns(values).select(audits.columns), "refreshed")
+
+    _overwrite(rows, partitions, f"{root}/issues")
+    _overwrite(summaries, partitions, f"{root}/audits")
+    discard(rows, summaries)
+    return results.withColumnRenamed("site_key", "audit_id")
+
+
 def rewrite_without(
     spark: SparkSession, root: str, ids: DataFrame, target: str, names=("audits", "pages", "issues")
 ) -> None:
     """Copy saved tables without the given audits into ``target``."""
     tables = {n: spark.read.parquet(f"{root}/{n}") for n in names}
     for name, df in delete_audits(tables, ids).items():
-        df.write.mode("overwrite").partitionBy("audit_date").parquet(f"{target}/{name}")
+        df.write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{target}/{name}")
