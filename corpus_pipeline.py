@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteglass.llm import jaccard, mixing, packing, quality
-from siteglass.llm.storage import stored
+from siteglass.llm.storage import carried, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     judged = quality.judged(docs, keep=docs.columns)
-    return judged.where("kept").select(docs.columns)
+    return judged.where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +26,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a ``doc_id`` are one document, of which one row stays. A row without
     ``doc_id`` can't be named as a duplicate and stays.
     """
-    groups = jaccard.near_duplicates(docs)
+    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    same = Window.partitionBy("doc_id").orderBy("doc_id", F.xxhash64("text"))
-    named = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(same))
-    return named.where("_nth = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), carried(docs.columns))
+    same = Window.partitionBy("doc_id").orderBy("hash")
+    named = rows.join(first, "doc_id", "left_semi").withColumn("nth", F.row_number().over(same))
+    return named.where("nth = 1").select("row.*").unionByName(rows.where("doc_id is null").select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the number of copies that the mix takes."""
     rows = mixing.mixed(docs, keep=docs.columns)
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    repeated = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(docs.columns)
+    repeated = rows.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"))
+    return repeated.select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import carried, stored
 from .words import n_words
 
 # A document's place: three hexadecimal digits per level, refined level by level.
@@ -28,11 +28,11 @@ def document_hash(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), whole))
 
 
-def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
+def sized(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Size and hash digits of every document; its text is left behind."""
     digits = F.substring(document_hash(F.col("doc_id"), F.col("text")), 1, DIGITS_PER_LEVEL * LEVELS)
     return docs.select(
-        *[c for c in keep if c != "source"], "source",
+        carried(keep), "source",
         n_words(F.col("text")).alias("size"), digits.alias("_hash"),
     )
 
@@ -128,23 +128,22 @@ def mixed(
 ) -> DataFrame:
     """How many words the mix takes of every document, copies counted.
 
-    ``docs`` has ``doc_id``, ``text`` and ``source``; further columns are carried if named
-    in ``keep``. A null source is one more source and comes last; a null or empty text
+    ``docs`` has ``doc_id``, ``text`` and ``source``. Columns named by ``keep`` come back in a
+    struct ``row`` in place of ``doc_id``, so that no name can clash. A null source is one more source and comes last; a null or empty text
     has size 0 and adds nothing; rows equal in ``doc_id`` and text share a hash and are taken
     together. A source that can't reach its target by whole documents ends at most half
     of one hash bucket's words away from it, which is one document unless rows repeat.
     """
-    keep = keep or ["doc_id"]
-    sizes = stored(sized(docs, ["doc_id"]), "mix-sizes")
+    sizes = stored(sized(docs), "mix-sizes")
     targets = stored(source_targets(sizes, weights, max_copies), "mix-targets")
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     copies = F.least(copies, F.lit(max_copies)).cast("long")
     plan = targets.withColumn("_copies", copies)
     budgets = plan.withColumn("_budget", F.col("target") - F.col("_copies") * F.col("source_size"))
     ends = thresholds(sizes, budgets.where(F.col("_copies") < max_copies))
-    rows = sizes if keep == ["doc_id"] else sized(docs, keep)
+    rows = sized(docs, keep) if keep else sizes
     rows = _same_source(_same_source(rows, plan), ends)
     digits = F.col("_hash")
     once_more = F.coalesce((digits < F.col("_below")) | (digits == F.col("_last")), F.lit(False))
     taken = F.col("size") * (F.col("_copies") + once_more.cast("long"))
-    return rows.select(*keep, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("row" if keep else "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -15,11 +15,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .storage import carried
 from .word_bpe import batches, encoder
 
-PIECE = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECE = {
+    "piece": "integer", "start": "long", "length": "long", "ids_crc32": "long", "sequence_id": "long", "offset": "long"
+}
 
 
 class OpenSequences:
@@ -71,22 +74,24 @@ def packed(
 ) -> DataFrame:
     """One row per piece of a document, with its sequence and place there.
 
-    ``docs`` has ``text``; ``keep`` names the columns to carry (``doc_id``). A null or empty
+    ``docs`` has ``doc_id`` and ``text``. Columns named by ``keep`` come back in a struct ``row``
+    in place of ``doc_id``, so that no name can clash. A null or empty
     text is the end id alone. Equal rows are packed each for itself. An empty table gives
     no piece. Sequences never span tasks: ``sequence_id`` holds the task's partition above
     32 bits. The result depends only on how the input is split, not on retries.
     """
-    keep = keep or ["doc_id"]
-    slim = docs.select(*keep, F.col("text").alias("_text"))
-    names = [c for c in slim.columns if c != "_text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
+    slim = docs.select(carried(keep), "text")
+    name = slim.columns[0]
+    schema = StructType([slim.schema[0]])
+    for column, kind in PIECE.items():
+        schema = schema.add(column, kind)
     end = int(end_id).to_bytes(4, "little")
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         sequences = OpenSequences(capacity, most_open, TaskContext.get().partitionId() << 32)
         for batch in rows:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             at, out = [], []
             for a, b in batches(texts):
                 for row, ids in enumerate(encode(texts[a:b]), a):
@@ -98,10 +103,10 @@ def packed(
                         out.append((piece, start, length, zlib.crc32(own), *sequences.place(length)))
             columns = list(zip(*out)) or [()] * 6
             types = [pa.int32()] + [pa.int64()] * 5
-            kept = batch.select(names).take(pa.array(at, pa.int64()))
+            kept = batch.select([name]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, *[pa.array(c, t) for c, t in zip(columns, types)]],
-                [*names, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [name, *PIECE],
             )
 
-    return slim.mapInArrow(pack, f"{fields}, {PIECE}")
+    return slim.mapInArrow(pack, schema)

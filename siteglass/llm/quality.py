@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import carried, stored
 from .words import SPACE, words
 
 # Function words of the languages that have a reference.
@@ -168,16 +168,15 @@ def js_distance(counts: Column, total: Column, reference: list[int]) -> Column:
 def judged(docs: DataFrame, rules: QualityRules | None = None, keep: list[str] | None = None) -> DataFrame:
     """Counts, distances and verdict of every document.
 
-    ``docs`` has ``doc_id``, ``text`` and ``lang``; further columns are carried if named
-    in ``keep``. A null or empty text has no words, fails the base rule and is not kept;
+    ``docs`` has ``doc_id``, ``text`` and ``lang``. Columns named by ``keep`` come back in a
+    struct ``row`` in place of ``doc_id``, so that no name can clash. A null or empty text has no words, fails the base rule and is not kept;
     a null or unknown ``lang`` adds to no reference but is judged like any other; without
     any reference the distances are null and reject nothing. Repeated rows are judged
     each for itself. Distances are rounded to six places, so that reruns agree.
     """
     rules = rules or QualityRules()
-    keep = keep or ["doc_id"]
-    carried = list(dict.fromkeys([*keep, "lang"]))
-    features = stored(text_features(docs, rules, carried), "quality")
+    name = "row" if keep else "doc_id"
+    features = stored(text_features(docs.select(carried(keep), "text", "lang"), rules, [name, "lang"]), "quality")
     references = language_references(features, rules)
 
     def nearest(name: str, total: str) -> Column:
@@ -197,7 +196,7 @@ def judged(docs: DataFrame, rules: QualityRules | None = None, keep: list[str] |
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & ~(enough & far))
         .select(
-            *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+            name, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "base_failed", "kept", "class_distance", "word_distance",
         )
     )

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # Once the table is written, the exchanges that led to it are no longer needed.
@@ -49,3 +50,10 @@ def discard(*tables: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.stored_in)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(keep: list[str] | None) -> Column:
+    """The columns ``keep`` as one struct ``row``; without any, ``doc_id`` alone."""
+    if not keep:
+        return F.col("doc_id")
+    return F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import carried
 from .word_bpe import batches, encoder
 
 
@@ -16,18 +17,18 @@ def token_counts(
 ) -> DataFrame:
     """Bytes and tokens of every text, and whether it has more than ``limit`` tokens.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file that every executor can open. A null
+    Columns named by ``keep`` come back in a struct ``row`` in place of ``doc_id``, so that no
+    name can clash. ``tokenizer`` is the path of a ``tokenizers`` file that every executor can open. A null
     or empty text has no tokens. Rows are counted where they are read; nothing is
     exchanged. Counts equal the library's without added begin or end tokens.
     """
-    keep = keep or ["doc_id"]
-    slim = docs.select(*keep, F.col("text").alias("_text"))
-    schema = slim.drop("_text").schema.add("n_bytes", "long").add("n_tokens", "long")
+    slim = docs.select(carried(keep), "text")
+    schema = slim.drop("text").schema.add("n_bytes", "long").add("n_tokens", "long")
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in rows:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             tokens: list[int] = []
             for a, b in batches(texts):
                 tokens += [len(x) // 4 for x in encode(texts[a:b])]

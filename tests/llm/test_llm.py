@@ -139,6 +139,26 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs, sf_dir):
 
 
 
+CLASHING = ["n_words", "class_counts", "kept", "_text", "_words", "base_failed", "size", "taken", "target", "_hash",
+            "source_size", "nth", "_nth", "hash", "row", "copy", "piece", "start", "sequence_id", "n_tokens", "n_bytes"]
+
+
+def test_stages_leave_user_columns_alone(spark, odd, docs, sf_dir):
+    extra = {c: F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING}
+    good = docs.where("n_chars > 500").drop("n_chars").withColumn("size", F.lit("x"))
+    table = odd.union(good.select(odd.columns)).withColumns(extra)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, table, sf_dir)
+        assert rows.columns == table.columns
+        for r in rows.collect():
+            assert all(r[c] == f"own {c} {'none' if r['doc_id'] is None else r['doc_id']}" for c in CLASHING)
+        assert stage(spark, table.limit(0), sf_dir).count() == 0
+    for operator in (token_counts.token_counts, packing.packed):
+        for r in operator(table, PATH, keep=["doc_id", *CLASHING]).collect():
+            assert r["row"]["n_tokens"] == f"own n_tokens {'none' if r['row']['doc_id'] is None else r['row']['doc_id']}"
+    assert corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).count() >= table.count()
+
+
 def test_parity_keys_never_miss():
     rng = np.random.default_rng(1)
     for n in [1, 2, 4, 5, 6, 9, 10, 23, 60, 200, 700, 3000]:
@@ -154,7 +174,7 @@ def test_mix_comes_near_its_targets(docs):
     rows = mixing.mixed(docs, keep=["doc_id", "source"]).collect()
     by = collections.defaultdict(list)
     for r in rows:
-        by[r["source"]].append(r)
+        by[r["row"]["source"]].append(r)
         assert 0 <= r["taken"] <= 3 * r["size"]
     total = sum(r["size"] for r in rows)
     assert math.isclose(sum(v[0]["target"] for v in by.values()), total)
@@ -268,6 +288,37 @@ def test_neighbour_recall(spark):
     assert hits >= 0.9 * 5 * 30 and max(r["query_id"] for r in found) < 1500
 
 
+def _all_nearest(rows, q, k=5):
+    unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows}
+    return [i for _, i in sorted((-round(float(unit[q] @ x), 12), i) for i, x in unit.items() if i != q)][:k]
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(0, [1.0, 2.0]), (1, [-1.0, -2.0])],
+        [(i, [1.0, i / 9]) for i in range(3)] + [(10 + i, [-1.0, -i / 7]) for i in range(1, 5)],
+        [(i, [float(i % 3 - 1), 1.0, i / 5]) for i in range(1, 40)] + [(50, [0.0, -1.0, -9.0])],
+    ],
+)
+def test_far_vectors_are_candidates_too(spark, rows):
+    table = spark.createDataFrame([(i, v, 1, "own") for i, v in rows], "vec_id long, embedding array<double>, node int, w string")
+    found = collections.defaultdict(list)
+    for r in neighbours.nearest_neighbours(table, F.lit(True)).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert all(len(found[q]) == min(5, len(rows) - 1) for q, _ in rows)
+    if len(rows) < 10:
+        assert found == {q: _all_nearest(rows, q) for q, _ in rows}
+
+
+def test_neighbours_of_none_and_of_repeated_rows(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert neighbours.nearest_neighbours(spark.createDataFrame([], schema), F.lit(True)).count() == 0
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0])]
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, schema), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in found) == [(1, 1, 1.0), (2, 2, 0.0)]
+
+
 def test_neighbour_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
     # From two projections and few proposals, neighbours come nearer for more than four rounds.
     made, stored = [], neighbours.stored
