@@ -59,16 +59,19 @@ cte("facts", f"""select site_key, count(*) as n, {_home('is_https')} as h_https,
     {_home('load_time_ms')} as h_load, {_home('compression is not null')} as h_comp, {_home('html_size_bytes')} as h_bytes,
     {_agg_blend('has_social_tags', 0.8)} as og, {_agg_blend('og_image is not null', 0.8)} as og_image, {_agg_blend('has_twitter_card', 0.75)} as twitter,
     {_home('profiles')} as h_profiles, count(*) filter (has_social_tags) as n_og from scored_pages group by 1""", "scored_pages")
-cte("customer_facts", """select f.*, coalesce(o.orphans, 0) as orphans, coalesce(d.dups, 0) as dups, n % 5 as broken, n % 8 as moved,
+# One scored site per customer: the facts of the site that has the page with the customer's number.
+cte("page_sites", """select s.site_key as customer_key, q.site_key as page_site from sites s join s_sig q
+    on q.page_id = cast(regexp_extract(s.site_key, '^c([0-9]+)', 1) as bigint) % (select count(*) from s_sig)""", "sites", "s_sig")
+cte("customer_facts", """select f.* replace (customer_key as site_key), page_site, coalesce(o.orphans, 0) as orphans, coalesce(d.dups, 0) as dups, n % 5 as broken, n % 8 as moved,
     p.https_enforced, p.canonicalized or not p.www_resolves or not p.apex_resolves as www_ok, p.site_key is not null as has_probe,
     l.performance_score, l.accessibility_score, l.best_practices_score, l.seo_score, l.lcp_ms, l.cls, l.inp_ms,
     fd.available as field_ok, fd.lcp_rating, fd.cls_rating, fd.inp_rating, h.grade as scan_grade, dn.email_auth_score, m.valid as html_valid, m.error_count, r.domain_rank
-    from facts f left join orphan_counts o using (site_key) left join dup_counts d using (site_key)
-    left join probes p on p.site_key = concat('c', n, '.example.com') left join best_run l on l.site_key = concat('c', n, '.example.com')
-    left join field fd on fd.site_key = concat('c', n, '.example.com') left join headers h on h.site_key = concat('c', n, '.example.com') and h.n_failed < 5
-    left join dns dn on dn.site_key = concat('c', n, '.example.com') left join markup m on m.site_key = concat('c', n, '.example.com')
-    left join rank r on r.site_key = concat('c', n, '.example.com')""",
-    "facts", "orphan_counts", "dup_counts", "probes", "best_run", "field", "headers", "dns", "markup", "rank")
+    from page_sites join facts f on f.site_key = page_site left join orphan_counts o on o.site_key = page_site left join dup_counts d on d.site_key = page_site
+    left join probes p on p.site_key = customer_key left join best_run l on l.site_key = customer_key
+    left join field fd on fd.site_key = customer_key left join headers h on h.site_key = customer_key and h.n_failed < 5
+    left join dns dn on dn.site_key = customer_key left join markup m on m.site_key = customer_key
+    left join rank r on r.site_key = customer_key""",
+    "page_sites", "facts", "orphan_counts", "dup_counts", "probes", "best_run", "field", "headers", "dns", "markup", "rank")
 
 
 def steps(x: str, *pairs: tuple[float, int], low: int) -> str:
@@ -159,7 +162,7 @@ cte("refreshed", """select f.* exclude (h_https, hsts, csp, x_content_type, x_fr
     f.first_https as h_https, not list_contains(k, 'strict-transport-security') as hsts, not list_contains(k, 'content-security-policy') as csp,
     not list_contains(k, 'x-content-type-options') as x_content_type, not list_contains(k, 'x-frame-options') as x_frame_options,
     not list_contains(k, 'referrer-policy') as referrer_policy, not list_contains(k, 'permissions-policy') as permissions_policy, null as scan_grade
-    from customer_facts f join (select site_key, failed[2:] as k from home_scan) s using (site_key)""", "customer_facts", "home_scan")
+    from customer_facts f join (select site_key as page_site, failed[2:] as k from home_scan) s using (page_site)""", "customer_facts", "home_scan")
 cte("refreshed_rows", _check_rows("refreshed", _local), "refreshed")
 ORACLES["refresh_scores"] = build(_category_rows("refreshed_rows", "refreshed"), "refreshed_rows", "refreshed")
 

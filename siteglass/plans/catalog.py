@@ -637,22 +637,29 @@ def technical_lines(spark, d):
 
 
 def _score_inputs(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of the page sites; outside answers are those of a customer per site.
+    """One scored site per customer: its own outside answers and the facts of a page site.
 
-    A site takes the answers of the customer whose number is its page count.
+    That is the site of the page with the customer's number, counted round the pages.
     """
     signals = _signal_table(spark, d)
-    facts = saved(sites.site_facts(signals), "facts")
-    key = facts.select(
-        "site_key", F.concat(F.lit("c"), F.col("n_pages"), F.lit(".example.com")).alias("c_key")
+    urls = derived(spark, d, "sites")
+    number = F.regexp_extract("site_key", r"^c(\d+)\.", 1).cast("long")
+    owners = saved(
+        urls.select(F.col("site_key").alias("customer_key"), (number % signals.count()).alias("page_id"))
+        .join(signals.select("page_id", "site_key"), "page_id")
+        .drop("page_id"),
+        "owners",
     )
 
-    def of_site(table: DataFrame) -> DataFrame:
-        return key.join(table.withColumnRenamed("site_key", "c_key"), "c_key").drop("c_key")
+    def of_customers(table: DataFrame) -> DataFrame:
+        named = table.join(owners, "site_key").withColumn("site_key", F.col("customer_key"))
+        return named.drop("customer_key")
 
+    page_facts = saved(sites.site_facts(signals), "facts")
+    facts = of_customers(page_facts)
     ext = _external(spark, d)
     pages, edges = links.page_urls(signals), links.link_edges(signals)
-    orphans = links.orphan_pages(edges, pages, facts.select("site_key", "base_url"))
+    orphans = links.orphan_pages(edges, pages, page_facts.select("site_key", "base_url"))
     n = F.col("n_pages")
     totals = facts.select(
         "site_key",
@@ -663,13 +670,13 @@ def _score_inputs(spark: SparkSession, d: str) -> DataFrame:
     )
     return score_facts(
         facts,
-        sites.duplicate_values(signals, "title"),
-        orphans,
+        of_customers(sites.duplicate_values(signals, "title")),
+        of_customers(orphans),
         totals,
-        probes=of_site(derived(spark, d, "probes")),
-        lab=of_site(_best_runs(spark, d)),
-        headers=of_site(ext["headers"].where(F.col("tests_failed") < 5)),
-        **{k: of_site(ext[k]) for k in ("field", "dns", "markup", "authority")},
+        probes=derived(spark, d, "probes"),
+        lab=_best_runs(spark, d),
+        headers=ext["headers"].where(F.col("tests_failed") < 5),
+        **{k: ext[k] for k in ("field", "dns", "markup", "authority")},
     )
 
 
