@@ -90,6 +90,14 @@ ORACLES["header_signals"] = build(
     """select page_id, compression, x_robots_noindex, hsts, csp, x_content_type, x_frame_options, referrer_policy, permissions_policy,
     cast(n_headers as bigint) as headers from s_sig""", "s_sig")
 
+# Every seventeenth page has no fetch data, and of the others every thirty-first fetch failed.
+_bare = "page_id % 17 = 16"
+ORACLES["stored_page_signals"] = build(
+    f"""select page_id, title, word_count::bigint as word_count, case when {_bare} then 200 else status_code end::bigint as status_code,
+    case when {_bare} then 0 else load_time_ms end::bigint as load_time_ms, case when not ({_bare}) then compression end as compression,
+    x_robots_noindex and not ({_bare}) as x_robots_noindex, meta_index and ({_bare} or not x_robots_noindex) as is_indexable,
+    case when {_bare} then 0 else n_headers end::bigint as headers from s_sig where {_bare} or page_id % 31 <> 30""", "s_sig")
+
 HEADER_GRADE = """case when score >= 95 then 'A+' when score >= 90 then 'A' when score >= 85 then 'A-' when score >= 80 then 'B+' when score >= 75 then 'B'
   when score >= 70 then 'B-' when score >= 65 then 'C+' when score >= 60 then 'C' when score >= 50 then 'D' else 'F' end"""
 

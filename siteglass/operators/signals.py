@@ -328,3 +328,26 @@ def extract_signals(pages: DataFrame, include_script_text: bool = True) -> DataF
         }
     )
     return df.select(*SIGNAL_COLUMNS)
+
+
+def with_fetch(signals: DataFrame, meta: DataFrame) -> DataFrame:
+    """Signals that were extracted from HTML alone, completed by status, load time and headers.
+
+    ``meta`` is ``(page_id, status_code, load_time_ms, headers, error)``. Only signals meet it,
+    so HTML is never moved. Pages without a row keep status 200 and no headers; pages whose
+    fetch failed are left out.
+    """
+    known = meta.select(
+        "page_id", "headers", F.col("error").isNotNull().alias("_failed"),
+        F.col("status_code").alias("_status"), F.col("load_time_ms").alias("_load"),
+    )
+    own = ("compression", "x_robots_noindex", "security_headers", "response_headers")
+    df = header_signals(signals.drop(*own).join(known, "page_id", "left"))
+    df = df.where(~F.coalesce("_failed", F.lit(False))).withColumns(
+        {
+            "status_code": F.coalesce("_status", "status_code"),
+            "load_time_ms": F.coalesce("_load", "load_time_ms"),
+            "is_indexable": F.col("is_indexable") & ~F.col("x_robots_noindex"),
+        }
+    )
+    return df.select(*SIGNAL_COLUMNS)

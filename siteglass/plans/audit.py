@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import grouping, links, payloads, rules_external, rules_page, scoring, sites
 from ..operators.rules import union_issues
-from ..operators.signals import extract_signals, looks_like_html
+from ..operators.signals import extract_signals, looks_like_html, with_fetch
+from ..session import saved
+from ..sources.tables import fetch_failures
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,7 @@ class AuditInputs:
     """Input tables; everything but the pages may be missing."""
 
     pages: DataFrame
+    fetch_meta: DataFrame | None = None
     failures: DataFrame | None = None
     sites: DataFrame | None = None
     robots: DataFrame | None = None
@@ -184,7 +187,8 @@ def run_audit(inputs: AuditInputs, signals_path: str) -> AuditResult:
 
     Answers without a document start are no pages: ``dropped`` lists them with the
     reason. The HTML is read in a single narrow pass and never shuffled; a lost executor
-    only repeats its own files.
+    only repeats its own files. ``fetch_meta`` meets the signals, and failed fetches in it
+    are the failures unless those are given.
     """
     spark = inputs.pages.sparkSession
     is_page = looks_like_html(F.col("html"))
@@ -192,4 +196,9 @@ def run_audit(inputs: AuditInputs, signals_path: str) -> AuditResult:
     reason = F.when(F.col("html").isNull(), "no_answer").otherwise("not_html")
     dropped = inputs.pages.where(~is_page).select("page_id", "url", reason.alias("reason"))
     extract_signals(documents).write.mode("overwrite").parquet(signals_path)
-    return replace(audit_signals(spark.read.parquet(signals_path), inputs), dropped=dropped)
+    signals = spark.read.parquet(signals_path)
+    if inputs.fetch_meta is not None:
+        signals = saved(with_fetch(signals, inputs.fetch_meta), "fetched")
+        if inputs.failures is None:
+            inputs = replace(inputs, failures=fetch_failures(inputs.pages, inputs.fetch_meta))
+    return replace(audit_signals(signals, inputs), dropped=dropped)

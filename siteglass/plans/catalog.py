@@ -248,6 +248,23 @@ def header_signals(spark, d):
     )
 
 
+@query
+def stored_page_signals(spark, d):
+    """Stored pages and fetch data, read and joined as signals."""
+    fetched = crawl_pages(spark, d)
+    root = work_folder(spark, "stored")
+    fetched.select("page_id", "url", "html").write.parquet(f"{root}/pages")
+    kept = fetched.withColumn("error", F.when(F.col("page_id") % 31 == 30, "timeout"))
+    status, load = F.col("status_code").cast("int"), F.col("load_time_ms").cast("long")
+    meta = kept.where("page_id % 17 <> 16").select("page_id", status, load, "headers", "error")
+    meta.write.parquet(f"{root}/fetch_meta")
+    signals = tables.read_page_signals(spark, f"{root}/pages", f"{root}/fetch_meta")
+    return _longs(signals, "status_code", "word_count").select(
+        "page_id", "title", "word_count", "status_code", "load_time_ms", "compression", "x_robots_noindex",
+        "is_indexable", F.size("response_headers").cast("long").alias("headers"),
+    )
+
+
 @query
 def header_grade(spark, d):
     graded = payloads.grade_headers(

@@ -10,35 +10,33 @@ from pyspark.sql import functions as F
 from ..functions.urls import site_key
 from ..operators.refresh import delete_audits, refresh_integration
 from ..operators.report import attach_page_id
+from ..operators.signals import extract_signals, looks_like_html, with_fetch
 from ..session import discard, saved
 from . import schemas
 
 
-def read_pages(spark: SparkSession, path: str, fetch_meta: str | None = None) -> DataFrame:
-    """Stored pages, with status, load time and headers where they were kept.
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Stored pages ``(page_id, url, html)``."""
+    return spark.read.schema(schemas.PAGES).parquet(path)
 
-    Pages without fetch data read as status 200 without headers.
-    """
-    pages = spark.read.schema(schemas.PAGES).parquet(path)
-    if fetch_meta is None:
-        return pages
-    meta = spark.read.schema(schemas.FETCH_META).parquet(fetch_meta)
-    return pages.join(meta, "page_id", "left").withColumns(
-        {
-            "status_code": F.coalesce("status_code", F.lit(200)),
-            "load_time_ms": F.coalesce("load_time_ms", F.lit(0)),
-        }
-    )
+
+def read_fetch_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Status, load time, headers and error of each fetch, where they were kept."""
+    return spark.read.schema(schemas.FETCH_META).parquet(path)
 
 
-def split_failures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fetched pages, and the failed fetches as ``(site_key, page_id, page_seq, url, error)``."""
-    failed = F.col("error").isNotNull()
+def read_page_signals(spark: SparkSession, path: str, fetch_meta: str | None = None) -> DataFrame:
+    """Signals of stored pages. HTML is read where it lies; only signals meet the fetch data."""
+    pages = read_pages(spark, path)
+    signals = extract_signals(pages.where(looks_like_html(F.col("html"))))
+    return signals if fetch_meta is None else with_fetch(signals, read_fetch_meta(spark, fetch_meta))
+
+
+def fetch_failures(pages: DataFrame, meta: DataFrame) -> DataFrame:
+    """Failed fetches as ``(site_key, page_id, page_seq, url, error)``."""
     seq = F.col("page_seq") if "page_seq" in pages.columns else F.col("page_id")
-    failures = pages.where(failed).select(
-        site_key(F.col("url")).alias("site_key"), "page_id", seq.alias("page_seq"), "url", "error"
-    )
-    return pages.where(~failed), failures
+    named = pages.select(site_key(F.col("url")).alias("site_key"), "page_id", seq.alias("page_seq"), "url")
+    return named.join(meta.where(F.col("error").isNotNull()).select("page_id", "error"), "page_id")
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:

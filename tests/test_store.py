@@ -103,3 +103,26 @@ def test_refresh_scores_touched_audits_again(spark, sf_dir, tmp_path):
     got = {r["site_key"]: r["overall_score"] for r in spark.read.parquet(f"{root}/audits").collect()}
     assert got == {some[0]: want[some[0]], some[1]: want[some[1]], some[2]: -1}
     assert set(ISSUE_COLUMNS) <= set(spark.read.parquet(f"{root}/issues").columns)
+
+
+def test_html_meets_no_exchange(spark, sf_dir, tmp_path):
+    pages = crawl_pages(spark, sf_dir)
+    root = str(tmp_path)
+    pages.select("page_id", "url", "html").write.parquet(f"{root}/pages")
+    meta = pages.select(
+        "page_id", F.col("status_code").cast("int").alias("status_code"), F.col("load_time_ms").cast("long").alias("load_time_ms"),
+        "headers", F.when(F.col("page_id") == 3, "timeout").alias("error"),
+    )
+    meta.write.parquet(f"{root}/meta")
+    found = tables.read_page_signals(spark, f"{root}/pages", f"{root}/meta")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert len(joins) == 1
+    # Above the join stand signals alone.
+    above = plan.split("Join")[0]
+    assert "html#" not in above
+    want = extract_signals(pages.where("page_id <> 3")).select("page_id", "status_code", "is_indexable", "response_headers")
+    got = found.select(want.columns).orderBy("page_id").collect()
+    assert got == want.orderBy("page_id").collect()
+    failures = tables.fetch_failures(tables.read_pages(spark, f"{root}/pages"), tables.read_fetch_meta(spark, f"{root}/meta"))
+    assert [(r["page_id"], r["error"]) for r in failures.collect()] == [(3, "timeout")]
