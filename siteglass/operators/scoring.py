@@ -66,6 +66,11 @@ def _flag(test: Column, yes: int, no: int) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), yes).otherwise(no)
 
 
+def _if_checked(name: str, score: Column) -> Column:
+    """No score where the input is null: it was not looked at, which is no failure."""
+    return F.when(F.col(name).isNotNull(), score)
+
+
 def _schema() -> Column:
     valid = F.coalesce(F.col("n_schema_valid") / F.nullif(F.col("n_schema"), F.lit(0)), F.lit(0.0))
     present = F.coalesce("home_has_schema", F.col("n_schema") > 0)
@@ -154,10 +159,10 @@ def checks() -> list[Check]:
         Check("h1", "onpage", 10, _score_blend("h1_score", 0.6, 0.4)),
         Check("canonical", "onpage", 8, _pass_blend("canonical", 0.7)),
         Check("indexable", "onpage", 10, _flag(c("home_is_indexable"), 100, 0)),
-        Check("robots-txt", "onpage", 8, _flag(c("robots_txt") != "", 100, 40)),
-        Check("sitemap", "onpage", 8, _flag(c("sitemap_found"), 100, 50)),
+        Check("robots-txt", "onpage", 8, _if_checked("robots_txt", _flag(c("robots_txt") != "", 100, 40))),
+        Check("sitemap", "onpage", 8, _if_checked("sitemap_found", _flag(c("sitemap_found"), 100, 50))),
         Check("schema", "onpage", 6, _schema()),
-        Check("https-redirect", "onpage", 6, _flag(c("https_enforced"), 100, 40)),
+        Check("https-redirect", "onpage", 6, _if_checked("https_enforced", _flag(c("https_enforced"), 100, 40))),
         Check("www-canonical", "onpage", 4, _flag(c("www_canonicalized"), 100, 50)),
         Check("mixed-content", "onpage", 4, _flag(c("n_mixed_content") > 0, 30, 100)),
         Check("lighthouse-seo", "onpage", 18, lab("seo_score")),
@@ -249,15 +254,24 @@ def attach_externals(facts: DataFrame, **payloads: DataFrame | None) -> DataFram
     return facts
 
 
+# Inputs of which a missing table says that nobody looked, not that a site has none.
+UNCHECKED = {"robots_txt": "string", "sitemap_found": "boolean", "https_enforced": "boolean"}
+
+
 def attach_site_tables(facts: DataFrame, *tables: DataFrame, **defaults) -> DataFrame:
-    """Left-join one-row-per-site tables and fill what stays missing."""
+    """Left-join one-row-per-site tables and fill what stays missing.
+
+    Columns of ``UNCHECKED`` that no table brings stay null: they were not looked at.
+    """
     for table in tables:
         facts = facts.join(table, "site_key", "left")
-    fills = {
-        name: F.coalesce(name, F.lit(value)) if name in facts.columns else F.lit(value)
-        for name, value in defaults.items()
-    }
-    return facts.withColumns(fills)
+
+    def filled(name: str, value) -> Column:
+        if name in facts.columns:
+            return F.coalesce(name, F.lit(value))
+        return F.lit(None).cast(UNCHECKED[name]) if name in UNCHECKED else F.lit(value)
+
+    return facts.withColumns({name: filled(name, value) for name, value in defaults.items()})
 
 
 def _scored(facts: DataFrame, registry: list[Check]) -> DataFrame:
@@ -283,11 +297,14 @@ def check_scores(facts: DataFrame, registry: list[Check] | None = None) -> DataF
 
 
 def weighted_category_scores(scores: DataFrame) -> DataFrame:
-    """Weighted mean per category of any ``check_scores`` table, before floors."""
+    """Weighted mean per category of any ``check_scores`` table, before floors.
+
+    Checks without a score don't count.
+    """
+    weight = F.sum(F.when(F.col("score").isNotNull(), F.col("weight")))
+    total = F.coalesce(F.sum(F.col("score") * F.col("weight")), F.lit(0))
     return scores.groupBy("site_key", "category").agg(
-        (F.sum(F.col("score") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(1))).alias(
-            "weighted"
-        )
+        (total / F.greatest(F.coalesce(weight, F.lit(1)), F.lit(1))).alias("weighted")
     )
 
 
@@ -305,8 +322,10 @@ def category_scores(facts: DataFrame, registry: list[Check] | None = None) -> Da
     weighted = {}
     for cat in dims.CATEGORIES:
         mine = [x for x in registry if x.category == cat]
-        total = sum((c(f"`_{x.id}`") * x.weight for x in mine), F.lit(0))
-        weighted[f"_{cat}"] = total / F.lit(float(max(sum(x.weight for x in mine), 1)))
+        score = {x.id: c(f"`_{x.id}`") for x in mine}
+        total = sum((F.coalesce(score[x.id] * x.weight, F.lit(0)) for x in mine), F.lit(0))
+        weight = sum((F.when(score[x.id].isNotNull(), x.weight).otherwise(0) for x in mine), F.lit(0))
+        weighted[f"_{cat}"] = total / F.greatest(weight, F.lit(1)).cast("double")
     df = df.withColumns(weighted)
 
     def floored(cat: str) -> Column:

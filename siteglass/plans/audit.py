@@ -151,11 +151,13 @@ def audit_signals(signals: DataFrame, inputs: AuditInputs) -> AuditResult:
         lab=runs,
         **{k: v for k, v in external.items() if k != "threats"},
     )
+    given = {"robots_txt": inputs.robots, "sitemap_found": inputs.sitemap_found}
+    unchecked = [name for name, table in given.items() if table is None]
     stages = [
         rules_page.page_issues(signals),
         sites.duplicate_issues(titles, "dup-titles"),
         sites.duplicate_issues(metas, "dup-metas"),
-        sites.crawl_site_issues(full),
+        sites.crawl_site_issues(full.drop(*unchecked)),
         rules_external.external_issues(site_urls, **external),
         links.orphan_issues(orphans),
     ]

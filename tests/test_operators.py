@@ -214,3 +214,20 @@ def test_sampled_links_equal_the_fold(spark):
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "InPandas" not in plan
     assert links.sample_links(table.limit(0)).count() == 0
+
+
+def test_inputs_are_given_empty_or_absent(spark, sf_dir):
+    signals_table = signals.extract_signals(crawl_pages(spark, sf_dir))
+    site = signals_table.select("site_key").orderBy("site_key").first()[0]
+    own = signals_table.where(F.col("site_key") == site)
+    robots = spark.createDataFrame([(site, "User-agent: *")], schemas.ROBOTS)
+    found = {}
+    for name, table in (("given", robots), ("empty", robots.limit(0)), ("absent", None)):
+        result = audit_signals(own, AuditInputs(None, robots=table))
+        score = result.checks.where("check_id = 'robots-txt'").first()["score"]
+        (weighted,) = [r["weighted"] for r in scoring.weighted_category_scores(result.checks).where("category = 'onpage'").collect()]
+        keys = {r["issue_key"] for r in result.issues.collect()}
+        found[name] = (score, "no-robots" in keys, "no-sitemap" in keys)
+        rows = [r for r in result.checks.where("category = 'onpage'").collect() if r["score"] is not None]
+        assert abs(weighted - sum(r["score"] * r["weight"] for r in rows) / sum(r["weight"] for r in rows)) < 1e-9
+    assert found == {"given": (100, False, False), "empty": (40, True, False), "absent": (None, False, False)}
