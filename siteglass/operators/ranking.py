@@ -7,9 +7,13 @@ group, whatever the group's size.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, saved
+
 BUCKET_BITS = 16
 
 
@@ -57,3 +61,25 @@ def ranked(
 ) -> DataFrame:
     """``row_number`` inside each group, computed bucket by bucket."""
     return running_total(df, keys, buckets, order, F.lit(1), out)
+
+
+def positions(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
+    """``row_number`` over a whole table, without bringing it into one task.
+
+    Rows are range-sorted; a row's number is its place in its partition plus the rows of the
+    partitions before. Of the partitions, one count each goes through the driver. ``order``
+    should be unique; rows that tie are numbered in any order.
+    """
+    given = saved(df, "rows")
+    ordered = given.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = saved(
+        ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "positions"
+    )
+    discard(given)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("start"))
+    parts = sorted((r["_part"], r["n"], r["start"]) for r in sizes.collect())
+    before = [0, *accumulate(n for _, n, _ in parts)]
+    shifts = [(part, rows - start) for (part, _, start), rows in zip(parts, before)]
+    table = df.sparkSession.createDataFrame(shifts, "_part int, _shift long")
+    joined = placed.join(table, "_part")
+    return joined.withColumn(out, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grouping import first_rows
-from .ranking import ranked
+from .ranking import positions
 
 # Sample size per client, list sizes and page sizes.
 SAMPLE_DOMAINS, TOP_CLIENTS, RECENT = 8, 10, 25
@@ -104,15 +104,12 @@ def page_info(df: DataFrame, page: int, size: int) -> DataFrame:
     )
 
 
-def number_pages(
-    df: DataFrame, buckets: list[Column], order: list[Column], size: int
-) -> DataFrame:
+def number_pages(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     """Every row with its page number and place on the page.
 
-    For writing all pages at once; ``order`` must be unique and ``buckets`` a
-    coarse form of it.
+    For writing all pages at once; ``order`` should be unique.
     """
-    rows = ranked(df, [], buckets, order, "position")
+    rows = positions(df, order)
     return rows.withColumns(
         {
             "page": F.floor((F.col("position") - 1) / size) + 1,

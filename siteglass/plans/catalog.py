@@ -1075,8 +1075,7 @@ def audits_page_info(spark, d):
 @query
 def numbered_pages(spark, d):
     rows = derived(spark, d, "audit_history")
-    hour = -F.unix_seconds(F.date_trunc("hour", "created_at"))
-    numbered = usage.number_pages(rows, [hour], _newest_first(), usage.DEFAULT_PAGE_SIZE)
+    numbered = usage.number_pages(rows, _newest_first(), usage.DEFAULT_PAGE_SIZE)
     return _longs(numbered, "place").select("audit_id", "position", "page", "place")
 
 

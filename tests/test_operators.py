@@ -231,3 +231,14 @@ def test_inputs_are_given_empty_or_absent(spark, sf_dir):
         rows = [r for r in result.checks.where("category = 'onpage'").collect() if r["score"] is not None]
         assert abs(weighted - sum(r["score"] * r["weight"] for r in rows) / sum(r["weight"] for r in rows)) < 1e-9
     assert found == {"given": (100, False, False), "empty": (40, True, False), "absent": (None, False, False)}
+
+
+def test_positions_without_a_single_partition(spark):
+    draw = random.Random(4)
+    rows = [(draw.randrange(50), i) for i in range(700)]
+    table = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    found = ranking.positions(table, [F.col("a").desc(), F.col("b")])
+    want = {r: i for i, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
+    assert {(r["a"], r["b"]): r["position"] for r in found.collect()} == want
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert ranking.positions(table.limit(0), [F.col("a")]).count() == 0
