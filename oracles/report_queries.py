@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from siteglass import dims
 from siteglass.operators.recommend import (
-    DEVELOPER_NOTES, HOW_TO_FIX, PLAN_FALLBACK, REQUEST_HEAD, SUMMARY_FALLBACK, WHY_IT_MATTERS,
+    DEVELOPER_NOTES, HOW_TO_FIX, PLAN_FALLBACK, REQUEST_HEAD, REQUEST_LINE, SUMMARY_FALLBACK, WHY_IT_MATTERS,
 )
 from siteglass.operators.rule_texts import SITE_TEXTS
 from siteglass.plans.catalog import PAID_TODAY, TODAY
@@ -267,12 +267,20 @@ def _batches(limit: int) -> str:
 
 ORACLES["request_batches"] = build(f"select audit_id, batch_no, idx, issue_id from ({_batches(20)})", "saved_issues")
 cte("batches", _batches(8), "saved_issues")
-_req = fill("[%s] URL: %s | %s | %s | %s\nDescription: %s\nRule recommendation: %s\nPage title: %s | Words: %s | H1s: %s",
-            "idx", "coalesce(p.url, b.affected_url, 'the site')", "b.severity", "b.category", "b.title", "b.description", "b.recommendation",
-            "coalesce(p.title, 'N/A')", "coalesce(p.word_count, 0)", "coalesce(p.h1_count, 0)")
+_req = fill("[%s] " + REQUEST_LINE.replace("%d", "%s"), "idx", "coalesce(p.url, b.affected_url, 'the site')", "b.title", "b.severity", "b.category",
+            "b.description", "coalesce(b.recommendation, 'none')", "coalesce(p.title, 'none')", "coalesce(p.word_count, 0)", "coalesce(p.h1_count, 0)")
 ORACLES["enrichment_requests"] = build(
     f"""select audit_id, batch_no, count(*) as issues, concat({q(REQUEST_HEAD.replace('%s', 'the site'))}, string_agg({_req}, {q(chr(10) + chr(10))} order by idx)) as request
     from batches b left join s_sig p on p.page_id = b.page_id group by 1, 2""", "batches", "s_sig")
+# Batches of more than three findings fail and are halved; a critical finding alone fails too.
+ORACLES["answered_requests"] = build(
+    """select issue_id, case when n = 1 and severity = 'critical' then concat('Fix: ', title) else concat(idx - start + 1, ' of ', n) end as title
+    from (with recursive halves as (
+        select audit_id, batch_no, cast(0 as bigint) as start, count(*) as n from batches group by 1, 2
+        union all
+        select audit_id, batch_no, case when part = 0 then start else start + (n + 1) // 2 end, case when part = 0 then (n + 1) // 2 else n // 2 end
+        from halves, (values (0), (1)) t(part) where n > 3) select * from halves where n <= 3) h
+    join batches b on b.audit_id = h.audit_id and b.batch_no = h.batch_no and b.idx >= start and b.idx < start + n""", "batches")
 ORACLES["apply_enrichment"] = build(
     f"""select issue_id, case when answered and idx < 2 then concat('T', idx) else concat('Fix: ', title) end as title,
     case when answered and idx < 2 then 'W' else {q(WHY_IT_MATTERS)} end as why_it_matters, recommendation as how_to_fix,

@@ -5,6 +5,7 @@ Arrays are joined to text so that results compare by value.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -977,6 +978,22 @@ def apply_enrichment(spark, d):
     )
 
 
+@query
+def answered_requests(spark, d):
+    """Recommendations through a function that fails on long batches and on some findings."""
+    pages, issues = _saved_audits(spark, d)
+    batches = saved(report.issues_with_page(_batches(issues), pages), "batches")
+
+    def answer(request: str) -> str:
+        found = request.count("  what was found: ")
+        if found > 3 or (found == 1 and "(critical, " in request):
+            raise TimeoutError
+        return json.dumps([{"title": f"{i + 1} of {found}"} for i in range(found)])
+
+    rows = recommend.apply_enrichment(batches, recommend.request_answers(batches, answer))
+    return rows.select("issue_id", "title")
+
+
 def _category_rows(spark: SparkSession, d: str) -> DataFrame:
     cats = F.array(*[F.lit(c) for c in dims.CATEGORIES])
     pages, issues = _saved_audits(spark, d)

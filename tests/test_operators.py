@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siteglass.operators import discovery, grouping, links, payments, ranking, scoring, signals
+from siteglass.operators import discovery, grouping, links, payments, ranking, recommend, scoring, signals
 from siteglass.operators.rules import ISSUE_COLUMNS, Rule, apply_rules
 from siteglass.operators.rule_texts import RuleText
 from siteglass.plans.audit import AuditInputs, audit_signals, run_audit
@@ -242,3 +242,31 @@ def test_positions_without_a_single_partition(spark):
     assert {(r["a"], r["b"]): r["position"] for r in found.collect()} == want
     assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
     assert ranking.positions(table.limit(0), [F.col("a")]).count() == 0
+
+
+def test_failed_requests_are_halved(spark, tmp_path):
+    rows = [
+        (a, 0, i, a * 100 + i, "critical", "onpage", f"t{i}", "d", None, f"https://s{a}/", None, None, None, None, "site")
+        for a in range(1, 7) for i in range(7)
+    ]
+    schema = (
+        "audit_id long, batch_no int, idx int, issue_id long, severity string, category string, title string, description string, "
+        "recommendation string, affected_url string, page_url string, page_title string, page_word_count long, page_h1_count long, domain string"
+    )
+    batches = spark.createDataFrame(rows, schema)
+
+    def answer(request):
+        if "https://s3/" in request or "https://s6/" in request:
+            raise ConnectionError  # every third audit has no answer, however small the request
+        if "https://s2/" in request and request.count("https://") > 2:
+            return "no json"
+        return '{"recommendations": [' + ",".join('{"title": "ok"}' for _ in range(request.count("https://"))) + "]}"
+
+    answers = recommend.request_answers(batches, answer)
+    starts = sorted((r["audit_id"], r["start"]) for r in answers.collect())
+    assert starts == [(1, 0), (2, 0), (2, 2), (2, 4), (2, 6), (4, 0), (5, 0)]
+    found = recommend.apply_enrichment(batches, answers).collect()
+    assert len(found) == 42 and all(r["title"] == ("ok" if r["audit_id"] % 3 else r["title"]) for r in found)
+    plain = batches.select("audit_id", "batch_no").distinct().where("audit_id % 3 <> 0")
+    plain = plain.withColumn("body", F.lit('[' + ",".join(['{"title": "ok"}'] * 7) + "]"))
+    assert sorted(recommend.apply_enrichment(batches, plain).collect()) == sorted(found)
