@@ -234,44 +234,51 @@ _TYPES = {
 }
 
 
-def attach_externals(facts: DataFrame, **payloads: DataFrame | None) -> DataFrame:
-    """Join payload rows to the facts; absent payloads become nulls.
-
-    All sides are keyed by ``site_key`` with one row per site, so the joins reuse
-    the partitioning that ``site_facts`` has already produced.
-    """
-    for name, columns in EXTERNAL_COLUMNS.items():
-        table = payloads.get(name)
-        if table is None:
-            missing = {}
-            for col in columns:
-                kind = _TYPES.get(f"{name}_{col}", _TYPES.get(name))
-                missing[f"{name}_{col}"] = F.lit(None).cast(kind)
-            facts = facts.withColumns(missing)
-        else:
-            slim = table.select("site_key", *[F.col(c).alias(f"{name}_{c}") for c in columns])
-            facts = facts.join(slim, "site_key", "left")
-    return facts
-
-
 # Inputs of which a missing table says that nobody looked, not that a site has none.
 UNCHECKED = {"robots_txt": "string", "sitemap_found": "boolean", "https_enforced": "boolean"}
 
 
-def attach_site_tables(facts: DataFrame, *tables: DataFrame, **defaults) -> DataFrame:
-    """Left-join one-row-per-site tables and fill what stays missing.
+def _beside(facts: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Facts with the columns of tables that hold at most one row per site.
 
-    Columns of ``UNCHECKED`` that no table brings stay null: they were not looked at.
+    All rows meet in one union and one grouping, however many tables there are; sites that
+    only a table knows are left out.
+    """
+    every = facts.select("site_key", F.struct(*facts.drop("site_key").columns).alias("row"))
+    for i, table in enumerate(tables):
+        row = F.struct(*table.drop("site_key").columns).alias(f"row_{i}")
+        every = every.unionByName(table.select("site_key", row), allowMissingColumns=True)
+    names = ["row", *[f"row_{i}" for i in range(len(tables))]]
+    sites = every.groupBy("site_key").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return sites.where("row is not null").select("site_key", *[f"{n}.*" for n in names])
+
+
+def attach_tables(
+    facts: DataFrame, tables: list[DataFrame], defaults: dict, **payloads: DataFrame | None
+) -> DataFrame:
+    """Facts with everything that the checks read, one row per site.
+
+    ``defaults`` fill what ``tables`` leave missing; columns of ``UNCHECKED`` that no table
+    brings stay null: they were not looked at. Absent payloads become nulls.
     """
-    for table in tables:
-        facts = facts.join(table, "site_key", "left")
+    given = {name: payloads[name] for name in EXTERNAL_COLUMNS if payloads.get(name) is not None}
+    slim = [
+        table.select("site_key", *[F.col(c).alias(f"{name}_{c}") for c in EXTERNAL_COLUMNS[name]])
+        for name, table in given.items()
+    ]
+    full = _beside(facts, [*tables, *slim])
 
     def filled(name: str, value) -> Column:
-        if name in facts.columns:
+        if name in full.columns:
             return F.coalesce(name, F.lit(value))
         return F.lit(None).cast(UNCHECKED[name]) if name in UNCHECKED else F.lit(value)
 
-    return facts.withColumns({name: filled(name, value) for name, value in defaults.items()})
+    missing = {}
+    for name in EXTERNAL_COLUMNS.keys() - given.keys():
+        for col in EXTERNAL_COLUMNS[name]:
+            kind = _TYPES.get(f"{name}_{col}", _TYPES.get(name))
+            missing[f"{name}_{col}"] = F.lit(None).cast(kind)
+    return full.withColumns({**{name: filled(name, value) for name, value in defaults.items()}, **missing})
 
 
 def _scored(facts: DataFrame, registry: list[Check]) -> DataFrame:

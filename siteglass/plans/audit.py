@@ -89,19 +89,17 @@ def score_facts(
         sitemap_found,
         _maybe(sites.probe_facts, probes),
     ]
-    full = scoring.attach_site_tables(
-        facts,
-        *[t for t in tables if t is not None],
-        duplicate_title_sets=0,
-        orphan_pages=0,
-        broken_links=0,
-        redirect_links=0,
-        robots_txt="",
-        sitemap_found=False,
-        https_enforced=False,
-        www_canonicalized=True,
-    )
-    return scoring.attach_externals(full, **external)
+    defaults = {
+        "duplicate_title_sets": 0,
+        "orphan_pages": 0,
+        "broken_links": 0,
+        "redirect_links": 0,
+        "robots_txt": "",
+        "sitemap_found": False,
+        "https_enforced": False,
+        "www_canonicalized": True,
+    }
+    return scoring.attach_tables(facts, [t for t in tables if t is not None], defaults, **external)
 
 
 def audit_signals(signals: DataFrame, inputs: AuditInputs) -> AuditResult:
