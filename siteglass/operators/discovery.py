@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
 from ..functions.urls import is_crawlable, origin, path_depth, raw_path, site_key
+from ..session import saved
 from .grouping import first_rows
 from .ranking import id_bucket, ranked
 
@@ -32,13 +35,39 @@ def sitemap_roots(robots: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def _locations(docs: DataFrame) -> DataFrame:
+    """Entries of every sitemap: pages of URL sets, further sitemaps of indexes."""
     locs = F.regexp_extract_all("body", F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), 1)
-    return docs.select(
+    entries = docs.select(
         "site_key",
         "sitemap_url",
         F.col("body").rlike("(?i)<sitemapindex").alias("is_index"),
         F.posexplode(locs).alias("pos", "loc"),
     )
+    return entries.where(~F.col("is_index") | F.col("loc").rlike(r"(?i)\.xml|sitemap"))
+
+
+def _visits(roots: DataFrame, nested: DataFrame, max_depth: int | None, once: bool) -> list[DataFrame]:
+    """Sitemaps to read, level by level, with the positions ``path`` that lead to them.
+
+    Each level is stored and leads to the next. With ``once`` a sitemap that its root already
+    reaches at an earlier place is not read again: all it lists is there, and earlier.
+    """
+    place = ["site_key", "base_url", "root", "sitemap_url"]
+    level = saved(roots.select(*place, F.array().cast("array<int>").alias("path")), "sitemaps")
+    met = [level]
+    while (max_depth is None or len(met) <= max_depth) and not level.isEmpty():
+        inner = level.join(nested, ["site_key", "sitemap_url"]).select(
+            "site_key", "base_url", "root", F.col("loc").alias("sitemap_url"),
+            F.concat("path", F.array("pos")).alias("path"),
+        )
+        if once:
+            inner = inner.groupBy(*place).agg(F.min("path").alias("path"))
+            seen = reduce(DataFrame.union, met).groupBy(*place).agg(F.min("path").alias("seen"))
+            later = F.coalesce(F.col("path") >= F.col("seen"), F.lit(False))
+            inner = inner.join(seen, place, "left").where(~later).drop("seen")
+        level = saved(inner, "sitemaps")
+        met.append(level)
+    return met
 
 
 def sitemap_urls(
@@ -46,33 +75,31 @@ def sitemap_urls(
     docs: DataFrame,
     per_sitemap: int | None = None,
     children: int | None = None,
-    max_depth: int = INDEX_DEPTH,
+    max_depth: int | None = INDEX_DEPTH,
 ) -> DataFrame:
     """Crawlable page URLs of all sitemaps, following indexes ``max_depth`` levels down.
 
-    The order is depth-first: root, position in each index (``p0`` on), entry.
+    The order is depth-first: root, position in each index (``p0`` on), entry. Every document
+    is parsed once. Without ``max_depth`` all levels are followed; indexes that list each other
+    come to an end, as no sitemap is read again at a later place. ``per_sitemap`` counts pages
+    of a sitemap listed twice twice, so repeats stay then, and a depth is needed.
     """
-    locs = _locations(docs)
-    path = [f"p{i}" for i in range(max_depth)]
-    level = roots.withColumns({p: F.lit(0) for p in path})
-    pages: DataFrame | None = None
-    for depth in range(max_depth + 1):
-        entries = level.join(locs, ["site_key", "sitemap_url"])
-        found = entries.where(~F.col("is_index") & is_crawlable(F.col("loc"), F.col("base_url")))
-        found = found.select("site_key", "base_url", "root", *path, "pos", F.col("loc").alias("url"))
-        pages = found if pages is None else pages.unionByName(found)
-        if depth == max_depth:
-            break
-        nested = entries.where(F.col("is_index") & F.col("loc").rlike(r"(?i)\.xml|sitemap"))
-        if children is not None:
-            keys = ["site_key", "root", *path, "sitemap_url"]
-            nested = first_rows(nested, keys, [F.col("pos")], children).drop("rank")
-        kept = [c for c in path if c != f"p{depth}"]
-        level = nested.select(
-            "site_key", "base_url", "root", *kept, F.col("pos").alias(f"p{depth}"), F.col("loc").alias("sitemap_url")
-        )
-    order = [F.col(c) for c in (*path, "pos")]
+    if per_sitemap is not None and max_depth is None:
+        raise ValueError("per_sitemap needs a max_depth")
+    locs = saved(_locations(docs), "locations")
+    nested = locs.where("is_index")
+    if children is not None:
+        nested = first_rows(nested, ["site_key", "sitemap_url"], [F.col("pos")], children).drop("rank")
+    met = _visits(roots, nested, max_depth, once=per_sitemap is None)
+    path = [f"p{i}" for i in range(len(met) - 1 if max_depth is None else max_depth)]
+    steps = [F.coalesce(F.get("path", F.lit(i)), F.lit(0)).alias(p) for i, p in enumerate(path)]
+    visits = reduce(DataFrame.union, met).select("site_key", "base_url", "root", "sitemap_url", *steps)
+    entries = visits.join(locs.where("not is_index"), ["site_key", "sitemap_url"])
+    pages = entries.where(is_crawlable(F.col("loc"), F.col("base_url"))).select(
+        "site_key", "base_url", "root", *path, "pos", F.col("loc").alias("url")
+    )
     if per_sitemap is not None:
+        order = [F.col(c) for c in (*path, "pos")]
         pages = first_rows(pages, ["site_key", "root"], order, per_sitemap).drop("rank")
     return pages
 
@@ -84,7 +111,7 @@ def discover_urls(
     per_sitemap: int | None = None,
     children: int | None = None,
     enough: int | None = None,
-    max_depth: int = INDEX_DEPTH,
+    max_depth: int | None = INDEX_DEPTH,
 ) -> DataFrame:
     """Candidate pages ``(site_key, base_url, url, pos)`` of each site, once each.
 
@@ -94,7 +121,7 @@ def discover_urls(
     ``enough`` set, sitemaps after the one that reaches it are not read.
     """
     found = sitemap_urls(sitemap_roots(robots, sites), docs, per_sitemap, children, max_depth)
-    path = [f"p{i}" for i in range(max_depth)]
+    path = [c for c in found.columns if c not in ("site_key", "base_url", "root", "pos", "url")]
 
     def placed(df: DataFrame) -> DataFrame:
         position = F.struct(*[F.col(c).cast("long").alias(c) for c in ("root", *path, "pos")])

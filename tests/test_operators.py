@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siteglass.operators import discovery, grouping, links, payments, ranking, recommend, scoring, signals
@@ -175,6 +176,46 @@ def test_many_sitemap_lines_keep_the_base_url_first(spark):
     assert [r["url"] for r in found] == want
 
 
+def test_sitemap_indexes_that_list_each_other_come_to_an_end(spark):
+    def index(*names):
+        return "<sitemapindex>" + "".join(f"<loc>https://a.example/{n}.xml</loc>" for n in names) + "</sitemapindex>"
+
+    bodies = {
+        "sitemap": index("one", "x", "sitemap"),
+        "one": index("two", "sitemap", "x"),
+        "two": index("three", "one"),
+        "three": index("y", "two"),
+        "x": "<urlset><loc>https://a.example/x</loc><loc>https://a.example/both</loc></urlset>",
+        "y": "<urlset><loc>https://a.example/both</loc><loc>https://a.example/y</loc></urlset>",
+    }
+    docs = spark.createDataFrame(
+        [("a.example", f"https://a.example/{n}.xml", b) for n, b in bodies.items()],
+        "site_key string, sitemap_url string, body string",
+    )
+    sites = spark.createDataFrame([("a.example", "https://a.example/")], "site_key string, base_url string")
+    robots = spark.createDataFrame([], "site_key string, robots_txt string")
+
+    def urls(**limits):
+        found = discovery.discover_urls(robots, docs, sites, **limits)
+        return [r["url"].removeprefix("https://a.example/") for r in found.orderBy("pos").collect()]
+
+    assert urls(max_depth=None) == ["", "both", "y", "x"]
+    assert urls() == ["", "x", "both"]
+    assert urls(max_depth=0) == [""]
+    assert urls(max_depth=None, children=1) == ["", "both", "y"]
+    with pytest.raises(ValueError):
+        discovery.discover_urls(robots, docs, sites, per_sitemap=3, max_depth=None)
+
+
+def test_sitemaps_are_parsed_once(spark):
+    docs = spark.createDataFrame([], "site_key string, sitemap_url string, body string")
+    sites = spark.createDataFrame([("a.example", "https://a.example/")], "site_key string, base_url string")
+    robots = spark.createDataFrame([], "site_key string, robots_txt string")
+    found = discovery.discover_urls(robots, docs, sites)
+    assert "body" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["url"] for r in found.collect()] == ["https://a.example/"]
+
+
 def test_a_document_start_counts_wherever_it_stands(spark):
     texts = ["<!--" + "x" * 10_000 + "--><HTML>", "plain", None]
     df = spark.createDataFrame([(t,) for t in texts], "html string")
