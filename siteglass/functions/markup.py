@@ -1,7 +1,7 @@
 """HTML column functions: comments, raw text, start tags, attributes, body text.
 
 HTML is read with regular expressions inside Spark projections, so pages stay in
-the JVM. Quoted attribute values may hold ``>``; script and style content is never
+the JVM. Quoted attribute values may hold ``>``, other quotes mean nothing; script and style content is never
 taken for tags; unclosed elements run on to the next anchor or the end of input.
 """
 
@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 
 from .text import bind, decode_entities
 
-# Inside of a tag after its name, quotes respected.
-_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# Inside of a tag after its name. A quote opens a value only after an equals sign.
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))*+"""
 _TAG = rf"<[a-zA-Z/!?]{_INSIDE}>"
-_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 _RAW_CUT = "\u0001"
 
 
 def _skip_attrs(wanted: str) -> str:
     """Attributes before the one that ``wanted`` matches; possessive, so any number is safe."""
-    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-    return rf"""(?:(?![\s/]+{wanted})[\s/]++[^\s=>"'/]++(?:\s*+=\s*+{value})?+)*+"""
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+    return rf"""(?:(?![\s/]+{wanted})[\s/]++[^\s=>/]++(?:\s*+=\s*+{value})?+)*+"""
 
 
 def strip_comments(h: Column) -> Column:
@@ -58,7 +58,7 @@ def attr(tag: Column, name: str, decode: bool = True) -> Column:
     raw = F.regexp_extract(
         tag, rf"(?is)^<[a-z][^\s/>]*+{_skip_attrs(rf'{name}\s*=')}[\s/]+{name}\s*=\s*{_VALUE}", 1
     )
-    value = F.regexp_replace(raw, r"""^["']|["']\z""", "")
+    value = F.regexp_replace(raw, r"""(?s)\A(["'])(.*)\1\z""", "$2")
     return bind(value, decode_entities) if decode else value
 
 

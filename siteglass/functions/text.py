@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html.entities
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,18 +112,26 @@ def format_utc_short(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "MMM d, yyyy"), F.lit("—"))
 
 
-def _entity_map() -> Column:
-    """The named references of HTML 4 and ``apos`` as one literal map."""
-    named = {**html.entities.name2codepoint, "apos": 39}
-    pairs = "\n".join(f"{n}\t{chr(c)}" for n, c in sorted(named.items()))
-    return F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
+def _entity_map(names: Iterable[str]) -> Column:
+    """Characters of named references as one literal map."""
+    pairs = "\u0001".join(f"{n}\u0002{html.entities.html5[n + ';']}" for n in sorted(names))
+    return F.str_to_map(F.lit(pairs), F.lit("\u0001"), F.lit("\u0002"))
+
+
+def _named(name: Column) -> Column:
+    """Character of a named reference; the short list of HTML 4 is searched first."""
+    common = set(html.entities.name2codepoint) | {"apos"}
+    every = {n.removesuffix(";") for n in html.entities.html5 if n.endswith(";")}
+    return F.coalesce(
+        F.try_element_at(_entity_map(common), name), F.try_element_at(_entity_map(every - common), name)
+    )
 
 
 def _numbered(name: Column) -> Column:
     """Character of ``#123`` or ``#x7b``; null when out of range or a surrogate."""
     digits = F.when(
-        F.lower(F.substring(name, 2, 1)) == "x", F.upper(F.substring(name, 3, 8))
-    ).otherwise(F.hex(F.substring(name, 2, 8).try_cast("long")))
+        F.lower(F.substring(name, 2, 1)) == "x", F.upper(F.regexp_replace(name, "^#[xX]0*", ""))
+    ).otherwise(F.hex(F.regexp_replace(name, "^#", "").try_cast("long")))
     valid = "^00(?!000000)(00(?!D[89A-F])|0[1-9A-F]|10)"
     return bind(
         F.lpad(digits, 8, "0"), lambda p: F.when(p.rlike(valid), F.decode(F.unhex(p), "UTF-32"))
@@ -133,20 +141,20 @@ def _numbered(name: Column) -> Column:
 def _decode_piece(p: Column, name: Column) -> Column:
     char = (
         F.when(F.startswith(name, F.lit("#")), _numbered(name))
-        .otherwise(F.try_element_at(_entity_map(), name))
+        .otherwise(_named(name))
     )
     known = F.concat(char, F.substring(p, F.length(name) + 2, F.length(p)))
     return F.coalesce(F.when(name != "", known), F.concat(F.lit("&"), p))
 
 
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+_REFERENCE = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
 
 def decode_entities(c: Column) -> Column:
     """Decode character references in one left-to-right pass.
 
-    Handles the 252 named references of HTML 4, ``&apos;``, and decimal and
-    hexadecimal numbers. Texts without ``&`` are returned untouched.
+    Handles the named references of HTML 5 that end in a semicolon, and decimal and
+    hexadecimal numbers of any length; numbers of no character stay. Texts without ``&`` are returned untouched.
     """
 
     def piece(p: Column) -> Column:

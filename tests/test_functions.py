@@ -79,6 +79,9 @@ def test_decode_entities(spark):
         "&#0;&#xD800;&#x1F600;&#1114112;": "&#0;&#xD800;😀&#1114112;",
         "&apos;&": "'&",
         "& &&amp;": "& &&",
+        "&check;&rarrw;|&NewLine;|&Tab;|": "✓↝|\n|\t|",
+        "&#0000000065;&#x00000041;&#00;": "AA&#00;",
+        "&lang;&NotEqualTilde;": "\u27e8\u2242\u0338",
     }
     assert values(spark, text.decode_entities, cases) == list(cases.values())
 
@@ -162,6 +165,31 @@ def test_attributes_of_a_tag_with_very_many(spark, n):
     assert tuple(row.first()) == ("/x", "", True, False)
 
 
+def test_quotes_open_a_value_only_after_an_equals_sign(spark):
+    from siteglass.functions import markup
+
+    texts = {
+        "<p class=it's>b</p> 5 &lt; 6": "b 5 < 6",
+        "<p title='a>b' x=\"c>d\">e</p>": "e",
+        "<p it's>b</p>": "b",
+        "<p a='1'\">b</p>": "b",
+        "<p a=>b</p>": "b",
+        "<p a= 'x>y'>b</p>": "b",
+        "<p href=?q=\"x>b</p>": "b",
+        "<!DOCTYPE html PUBLIC \"-//x//EN\">b": "b",
+    }
+    assert values(spark, markup.element_text, texts) == list(texts.values())
+    tags = {
+        "<a title=it's href=/x'>": "/x'",
+        "<a don't href='/y'>": "/y",
+        "<a alt='href=/no' href=\"/it's\">": "/it's",
+        "<a href=>": "",
+    }
+    assert values(spark, lambda c: markup.attr(c, "href"), tags) == list(tags.values())
+    many = "<p " + "it's " * 100_000 + ">b"
+    assert values(spark, markup.element_text, {many: "b"}) == ["b"]
+
+
 def test_stored_errors_are_trimmed_of_all_white_space(spark):
     from siteglass.operators.report import error_class
 
