@@ -312,13 +312,12 @@ SQL = {
 
 
 def supplied(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """A supplied table, as a batch or as a stream of its files."""
-    path = f"{sf_dir}/{name}.parquet"
-    table = spark.read.parquet(path)
+    """A supplied table, one file or a folder of files, as a batch or as a stream of its files."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if not stream:
         return table
-    reader = spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf_dir)
+    # A stream takes a single file only by a pattern; this one fits nothing but the table.
+    return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def crawl_pages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:

@@ -116,3 +116,23 @@ def test_site_findings_from_merged_state(spark, tmp_path):
     # Every batch reads the pages of one file, not those before.
     for updates in state.batches.values():
         assert len(updates.rows_read) == 3 and sum(updates.rows_read) == 25
+
+
+def test_streams_read_a_table_stored_as_a_file_or_a_folder(spark, tmp_path):
+    from siteglass.plans.catalog import QUERIES
+
+    row = "<html><head><title>t</title></head><body>{}</body></html>"
+    pages = spark.createDataFrame(
+        [(i, f"https://s{i % 2}.example/{i}", row.format("word " * i)) for i in range(1, 9)],
+        "page_id long, url string, html string",
+    )
+    folder, file = tmp_path / "folder", tmp_path / "file"
+    file.mkdir()
+    pages.repartition(3).write.parquet(str(folder / "pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("part-*.parquet")
+    (file / "pages.parquet").write_bytes(part.read_bytes())
+    (file / "other.parquet").write_bytes(b"no table")
+    for name in ("site_rules_stream", "audit_stream"):
+        found = [sorted(QUERIES[name](spark, str(d)).collect()) for d in (folder, file)]
+        assert found[0] == found[1] and found[0]
