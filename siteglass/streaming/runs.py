@@ -29,8 +29,12 @@ def run_append(stream: DataFrame, folder: str) -> DataFrame:
 def run_updates(stream: DataFrame, folder: str) -> DataFrame:
     """Drain an update-mode stream; rows carry the batch that wrote them.
 
-    A batch that is repeated after a failure overwrites its own folder.
+    A batch that is repeated after a failure overwrites its own folder. A stream that had
+    no input gives no rows.
     """
+    session, schema = stream.sparkSession, stream.schema
+    # Without a batch there would be no table to read.
+    session.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/batch_id=-1")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
@@ -43,8 +47,7 @@ def run_updates(stream: DataFrame, folder: str) -> DataFrame:
         .start()
     )
     running.awaitTermination()
-    schema = stream.schema.add("batch_id", "long")
-    rows = stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
+    rows = session.read.schema(schema.add("batch_id", "long")).parquet(f"{folder}/out")
     rows.rows_read = [p.numInputRows for p in running.recentProgress if p.numInputRows]
     return rows
 

@@ -136,3 +136,13 @@ def test_streams_read_a_table_stored_as_a_file_or_a_folder(spark, tmp_path):
     for name in ("site_rules_stream", "audit_stream"):
         found = [sorted(QUERIES[name](spark, str(d)).collect()) for d in (folder, file)]
         assert found[0] == found[1] and found[0]
+
+
+def test_a_stream_without_pages_has_no_findings(spark, tmp_path):
+    from siteglass.streaming.pages import SiteState, run_site_issues
+
+    schema = "page_id long, url string, html string"
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(schema).parquet(str(tmp_path / "none"))
+    assert run_site_issues(spark, empty).isEmpty()
+    assert SiteState(spark, empty).issues().isEmpty()
