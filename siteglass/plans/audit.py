@@ -69,6 +69,12 @@ def home_headers(facts: DataFrame) -> DataFrame:
     )
 
 
+def site_total(rows: DataFrame, name: str) -> DataFrame:
+    """Rows per site as ``name``; rows that were counted before bring their counts as ``name``."""
+    n = F.sum(name) if name in rows.columns else F.count(F.lit(1))
+    return rows.groupBy("site_key").agg(n.alias(name))
+
+
 def score_facts(
     facts: DataFrame,
     duplicates: DataFrame,
@@ -80,10 +86,9 @@ def score_facts(
     **external: DataFrame | None,
 ) -> DataFrame:
     """Facts with everything the checks read, one row per site."""
-    count = F.count(F.lit(1))
     tables = [
-        duplicates.groupBy("site_key").agg(count.alias("duplicate_title_sets")),
-        orphans.groupBy("site_key").agg(count.alias("orphan_pages")),
+        site_total(duplicates, "duplicate_title_sets"),
+        site_total(orphans, "orphan_pages"),
         totals,
         robots,
         sitemap_found,

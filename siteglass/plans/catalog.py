@@ -35,7 +35,7 @@ from ..session import saved, spread_small, work_folder
 from ..sources import tables
 from ..sources.derived import crawl_pages, derived, supplied
 from ..streaming import ledger, pages as page_stream
-from .audit import home_headers, score_facts
+from .audit import home_headers, score_facts, site_total
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -678,6 +678,7 @@ def _score_inputs(spark: SparkSession, d: str) -> DataFrame:
     ext = _external(spark, d)
     pages, edges = links.page_urls(signals), links.link_edges(signals)
     orphans = links.orphan_pages(edges, pages, page_facts.select("site_key", "base_url"))
+    titles = sites.duplicate_values(signals, "title")
     n = F.col("n_pages")
     totals = facts.select(
         "site_key",
@@ -688,8 +689,9 @@ def _score_inputs(spark: SparkSession, d: str) -> DataFrame:
     )
     return score_facts(
         facts,
-        of_customers(sites.duplicate_values(signals, "title")),
-        of_customers(orphans),
+        # Counted per page site: every customer of a site would repeat all its rows.
+        of_customers(site_total(titles, "duplicate_title_sets")),
+        of_customers(site_total(orphans, "orphan_pages")),
         totals,
         probes=derived(spark, d, "probes"),
         lab=_best_runs(spark, d),
