@@ -197,10 +197,11 @@ def technical_lines(
         rows = table.withColumn("_lines", F.array_compact(lines))
         if show is not None:
             rows = rows.where(show)
+        # Outer, as else Spark first filters by the size of the lines, which makes them twice,
+        # and moves that filter down to the few tasks that scan a small table.
+        lined = rows.select("site_key", F.posexplode_outer("_lines").alias("_p", "line")).where(c("line").isNotNull())
         blocks.append(
-            rows.select("site_key", F.posexplode("_lines").alias("_p", "line")).select(
-                "site_key", lit(title).alias("block"), (c("_p") + lit(start)).alias("position"), "line"
-            )
+            lined.select("site_key", lit(title).alias("block"), (c("_p") + lit(start)).alias("position"), "line")
         )
 
     if authority is not None:
