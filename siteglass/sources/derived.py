@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread_small
+from ..session import spread_rows, spread_small
 
 _HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 _Q = "chr(39)"
@@ -310,12 +310,19 @@ SQL = {
     """,
 }
 
+# Rows a task derives its rows from, and the key that deals a table out to tasks.
+_SPREAD = {
+    "customer": (20_000, "c_custkey"),
+    "orders": (200_000, "o_orderkey"),
+    "events": (200_000, "event_id"),
+}
+
 
 def supplied(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
     """A supplied table, one file or a folder of files, as a batch or as a stream of its files."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if not stream:
-        return table
+        return spread_rows(table, *_SPREAD[name]) if name in _SPREAD else table
     # A stream takes a single file only by a pattern; this one fits nothing but the table.
     return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{name}.parque[t]")
 

@@ -311,3 +311,60 @@ def test_failed_requests_are_halved(spark, tmp_path):
     plain = batches.select("audit_id", "batch_no").distinct().where("audit_id % 3 <> 0")
     plain = plain.withColumn("body", F.lit('[' + ",".join(['{"title": "ok"}'] * 7) + "]"))
     assert sorted(recommend.apply_enrichment(batches, plain).collect()) == sorted(found)
+
+
+def _wide_table_plan(df):
+    """Physical operators from the exchange that deals the customers out down to the scan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    dealt = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    return [next(x for x in range(i, len(lines)) if "FileScan" in lines[x]) - i for i in dealt], lines, dealt
+
+
+@pytest.fixture
+def many_customers(spark, tmp_path, monkeypatch):
+    """40 customers in one row group and at most ten for a task."""
+    from siteglass.sources import derived as source
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setitem(source._SPREAD, "customer", (10, "c_custkey"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["lab_runs", "lab_audits", "worst_lab_audits", "lab_findings", "prefer_strategy"])
+def test_answers_are_made_and_parsed_in_many_tasks(spark, many_customers, name):
+    from siteglass.plans.catalog import QUERIES
+
+    df = QUERIES[name](spark, many_customers)
+    depths, lines, dealt = _wide_table_plan(df)
+    assert dealt and all("hashpartitioning(c_custkey" in lines[i] and ", 4)" in lines[i] for i in dealt)
+    below = "".join(line for i, n in zip(dealt, depths) for line in lines[i : i + n])
+    assert "parse" not in below.lower() and not df.isEmpty()
+
+
+def test_report_lines_of_many_sites_are_made_after_the_deal(spark, many_customers):
+    from siteglass.operators import payloads, report
+
+    field = payloads.field_ratings(derived(spark, many_customers, "field_payloads"))
+    runs = payloads.prefer_strategy(payloads.lab_runs(derived(spark, many_customers, "lab_payloads")))
+    out = report.technical_lines(field=field, lab=runs)
+    depths, lines, dealt = _wide_table_plan(out)
+    below = "".join(line for i, n in zip(dealt, depths) for line in lines[i : i + n])
+    assert dealt and "parse" not in below.lower()
+    # One line for the sites without field data, three for others, none for failed answers.
+    kinds = [404 if k % 11 == 0 else 500 if k % 13 == 0 else 200 for k in range(40)]
+    want = sum({404: 1, 500: 0, 200: 3}[x] for x in kinds) + 4 * runs.count()
+    assert out.count() == want
+
+
+def test_rows_counted_per_page_site_total_like_the_rows(spark):
+    from siteglass.plans.audit import site_total
+
+    pages = spark.createDataFrame([("s1", "a"), ("s1", "b"), ("s2", "c")], "site_key string, url string")
+    # A customer may come twice, a site may have many customers.
+    owners = spark.createDataFrame(
+        [("c1", "s1"), ("c1", "s1"), ("c2", "s1"), ("c3", "s2"), ("c4", None)], "customer string, site_key string"
+    )
+    named = lambda t: t.join(owners, "site_key").drop("site_key").withColumnRenamed("customer", "site_key")
+    whole = site_total(named(pages), "n").orderBy("site_key").collect()
+    counted = site_total(named(site_total(pages, "n")), "n").orderBy("site_key").collect()
+    assert whole == counted and [tuple(r) for r in whole] == [("c1", 4), ("c2", 2), ("c3", 1)]
