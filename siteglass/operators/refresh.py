@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..session import by_key
 from .grouping import group_issues, severity_counts
 from .scoring import category_scores
 
@@ -22,11 +23,17 @@ def matches_integration(integration: str) -> Column:
     return F.coalesce(F.when(has_key, by_key).otherwise(by_title), F.lit(False))
 
 
-def replace_slice(issues: DataFrame, integration: str, new_issues: DataFrame) -> DataFrame:
-    """Findings without the integration's old ones, plus its new ones."""
-    return issues.where(~matches_integration(integration)).unionByName(
-        new_issues, allowMissingColumns=True
-    )
+def replace_slice(
+    issues: DataFrame, integration: str, new_issues: DataFrame, within: Column | None = None
+) -> DataFrame:
+    """Findings without the integration's old ones, plus its new ones.
+
+    ``within`` says which findings may be replaced; all unless given.
+    """
+    old = matches_integration(integration)
+    if within is not None:
+        old = old & F.coalesce(within, F.lit(False))
+    return issues.where(~old).unionByName(new_issues, allowMissingColumns=True)
 
 
 def sync_headers(facts: DataFrame, headers: DataFrame) -> DataFrame:
@@ -74,21 +81,30 @@ def refresh_integration(
     new_issues: DataFrame,
     sites: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings after the refresh, and one summary row per site.
+    """Findings after the refresh, and one summary row per site as ``refreshed_summary`` makes it.
 
-    ``facts`` holds the refreshed payload columns. The summary has the raw finding
-    count, the number of groups per severity, and the new scores. Without ``facts`` there
-    are no scores, and ``sites`` (``site_key``) says which sites to sum up.
+    ``facts`` holds the refreshed payload columns.
     """
     kept = replace_slice(issues, integration, new_issues)
+    return kept, refreshed_summary(kept, facts, sites)
+
+
+def refreshed_summary(
+    kept: DataFrame, facts: DataFrame | None, sites: DataFrame | None = None
+) -> DataFrame:
+    """Raw finding count, number of groups per severity and new scores of each site.
+
+    Without ``facts`` there are no scores, and ``sites`` (``site_key``) says which sites to
+    sum up.
+    """
     keyed = kept.withColumn("issue_key", F.coalesce("issue_key", "title"))
     counts = severity_counts(group_issues(keyed))
     totals = kept.groupBy("site_key").agg(F.count(F.lit(1)).alias("total_issues"))
     zero = F.lit(0).cast("long")
     scored = sites if facts is None else category_scores(facts)
-    summary = scored.join(totals, "site_key", "left").join(counts, "site_key", "left")
+    summary = scored.join(by_key(totals), "site_key", "left").join(by_key(counts), "site_key", "left")
     filled = {c: F.coalesce(c, zero) for c in ("total_issues", *[f"{s}_count" for s in dims.SEVERITIES])}
-    return kept, summary.withColumns(filled).drop("total_unique")
+    return summary.withColumns(filled).drop("total_unique")
 
 
 def delete_audits(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

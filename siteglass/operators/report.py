@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import js_trim, to_fixed
+from ..session import by_key
 from .grouping import first_rows
 from .ranking import id_bucket, ranked
 from .rules_external import whole
@@ -25,7 +26,7 @@ def attach_page_id(issues: DataFrame, pages: DataFrame) -> DataFrame:
         F.max_by("page_id", "page_seq").alias("page_id")
     )
     plain = issues.drop("page_id")
-    return plain.join(by_url, ["audit_id", "affected_url"], "left")
+    return plain.join(by_key(by_url), ["audit_id", "affected_url"], "left")
 
 
 def issues_with_page(issues: DataFrame, pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import squash_ws, strip_markdown, to_fixed
+from ..session import by_key
 from . import rule_texts as T
 from .rules import ISSUE_COLUMNS, STAGE_EXTERNAL, STAGE_LAB, Rule, apply_rules
 
@@ -53,6 +54,7 @@ def lab_issues(runs: DataFrame, audits: DataFrame, sites: DataFrame) -> DataFram
     ``sites`` is ``(site_key, base_url)``.
     """
     rules = lab_rules()
+    sites = by_key(sites)
     metric = apply_rules(runs.join(sites, "site_key"), rules, STAGE_LAB, F.col("base_url"))
     text = strip_markdown(F.col("description"))
     current = F.concat(
@@ -215,7 +217,7 @@ def external_issues(sites: DataFrame, **payloads: DataFrame | None) -> DataFrame
         if table is None:
             continue
         found = apply_rules(
-            table.join(sites, "site_key"), rules(), STAGE_EXTERNAL, F.col("base_url"), position + 1
+            table.join(by_key(sites), "site_key"), rules(), STAGE_EXTERNAL, F.col("base_url"), position + 1
         )
         out = found if out is None else out.unionByName(found)
     if out is None:

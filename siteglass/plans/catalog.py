@@ -31,7 +31,7 @@ from ..operators import (
     usage,
 )
 from ..operators.signals import extract_signals
-from ..session import saved, spread_small, work_folder
+from ..session import by_key, saved, spread_small, work_folder
 from ..sources import tables
 from ..sources.derived import crawl_pages, derived, supplied
 from ..streaming import ledger, pages as page_stream
@@ -901,7 +901,7 @@ def refresh_stored_audits(spark, d):
     tables.refresh_audits(spark, root, "dns", touched, found)
     stored, summaries = (spark.read.parquet(f"{root}/{n}") for n in ("issues", "audits"))
     totals = summaries.select("audit_id", "total_issues", "critical_count", "warning_count", "notice_count")
-    return stored.join(totals, "audit_id").select(
+    return stored.join(by_key(totals), "audit_id").select(
         "audit_id", "site_key", "issue_key", "severity", "title", "page_id", *totals.columns[1:]
     )
 

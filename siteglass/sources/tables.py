@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import site_key
-from ..operators.refresh import delete_audits, refresh_integration
+from ..operators.refresh import delete_audits, refreshed_summary, replace_slice
 from ..operators.report import attach_page_id
 from ..operators.signals import extract_signals, looks_like_html, with_fetch
-from ..session import discard, saved
+from ..session import by_key, discard, saved
 from . import schemas
 
 
@@ -83,7 +83,7 @@ def write_audit(audits: DataFrame, pages: DataFrame, issues: DataFrame, root: st
     dates = audits.select("audit_id", day.alias("audit_date"))
 
     def save(df: DataFrame, name: str) -> None:
-        dated = df.join(dates, "audit_id")
+        dated = df.join(by_key(dates), "audit_id")
         dated.write.mode("overwrite").partitionBy("audit_date").parquet(f"{root}/{name}/run={run}")
 
     save(pages, "pages")
@@ -122,38 +122,36 @@ def refresh_audits(
     Returns the new summary rows. An attempt that broke off may be repeated.
     """
     audits, issues, pages = (spark.read.parquet(f"{root}/{n}") for n in ("audits", "issues", "pages"))
+    ids = touched.select("audit_id").distinct()
     place = saved(
-        audits.join(touched.select("audit_id").distinct(), "audit_id", "left_semi").select("audit_id", *PARTITION),
-        "touched",
+        audits.join(by_key(ids), "audit_id", "left_semi").select("audit_id", *PARTITION), "touched"
     )
-    partitions = place.select(*PARTITION).distinct()
+    # A row per day and run, stored, so that Spark knows it for the small table that it is.
+    partitions = saved(place.select(*PARTITION).distinct(), "partitions")
     inside = lambda df: df.join(partitions, PARTITION, "left_semi")
-    old = inside(issues)
-    mine = old.join(place.select("audit_id"), "audit_id", "left_semi")
-    fresh = attach_page_id(new_issues, inside(pages)).join(place, "audit_id")
+    ids = by_key(place.select("audit_id").distinct())
+    fresh = attach_page_id(new_issues.join(by_key(place), "audit_id"), inside(pages))
+    marked = inside(issues).join(ids.withColumn("_touched", F.lit(True)), "audit_id", "left")
+    mixed = replace_slice(marked, integration, fresh, F.col("_touched")).drop("_touched")
+    untyped = {c: F.col(c).cast("string") for c, t in mixed.dtypes if t == "void"}
+    rows = saved(mixed.withColumns(untyped), "refreshed")
 
     # Audits take the place of sites: a site may have several.
     own = F.col("audit_id").cast("string")
-    keyed = lambda df: df.withColumn("_site", F.col("site_key")).withColumn("site_key", own)
-    base = keyed(place.withColumn("site_key", own)).select("site_key")
-    scored = None if facts is None else facts.join(place.select("audit_id"), "audit_id", "left_semi")
-    kept, summary = refresh_integration(
-        keyed(mine), None if scored is None else keyed(scored), integration, keyed(fresh), base
-    )
-    kept = kept.withColumn("site_key", F.col("_site")).drop("_site")
-    others = old.join(place.select("audit_id"), "audit_id", "left_anti")
-    rows = saved(others.unionByName(kept, allowMissingColumns=True).select(issues.columns), "refreshed")
+    keyed = lambda df: df.join(ids, "audit_id", "left_semi").withColumn("site_key", own)
+    base = place.select(own.alias("site_key"))
+    summary = refreshed_summary(keyed(rows), None if facts is None else keyed(facts), base)
 
     results = saved(summary, "summaries")
     replaced = [c for c in results.columns if c != "site_key" and c in audits.columns]
     named = results.select(F.col("site_key").alias("_audit"), F.struct(*replaced).alias("_new"))
-    joined = inside(audits).join(named, own == F.col("_audit"), "left")
+    joined = inside(audits).join(by_key(named), own == F.col("_audit"), "left")
     values = {c: F.when(F.col("_audit").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in replaced}
     summaries = saved(joined.withColumns(values).select(audits.columns), "refreshed")
 
-    _overwrite(rows, partitions, f"{root}/issues")
+    _overwrite(rows.select(issues.columns), partitions, f"{root}/issues")
     _overwrite(summaries, partitions, f"{root}/audits")
-    discard(rows, summaries)
+    discard(place, partitions, rows, summaries)
     return results.withColumnRenamed("site_key", "audit_id")
 
 

@@ -341,6 +341,20 @@ def test_answers_are_made_and_parsed_in_many_tasks(spark, many_customers, name):
     assert "parse" not in below.lower() and not df.isEmpty()
 
 
+def test_sites_meet_their_answers_by_key(spark, many_customers):
+    """Spark guesses a few kB for these sites and their runs, however long the answers are."""
+    from siteglass.operators import payloads, rules_external
+
+    urls = derived(spark, many_customers, "sites")
+    rank = payloads.authority_rank(derived(spark, many_customers, "authority"))
+    lab = payloads.lab_audits(derived(spark, many_customers, "lab_payloads"))
+    runs = payloads.prefer_strategy(payloads.lab_runs(derived(spark, many_customers, "lab_payloads")))
+    found = rules_external.lab_issues(runs, payloads.worst_lab_audits(payloads.dedupe_lab_audits(lab)), urls)
+    for df, joins in ((found, 2), (rules_external.external_issues(urls, authority=rank), 1)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == joins and "Broadcast" not in plan and not df.isEmpty()
+
+
 def test_report_lines_of_many_sites_are_made_after_the_deal(spark, many_customers):
     from siteglass.operators import payloads, report
 

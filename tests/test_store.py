@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,32 @@ def test_refresh_scores_touched_audits_again(spark, sf_dir, tmp_path):
     assert set(ISSUE_COLUMNS) <= set(spark.read.parquet(f"{root}/issues").columns)
 
 
+def test_only_days_are_sent_to_every_task(spark, saved_run):
+    """However small the files look: a row per audit goes through shuffles, never to the driver."""
+    root, write = saved_run
+
+    def executions():  # Spark forgets all but the last thousand
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {x.executionId(): x for x in map(found.apply, range(found.size()))}
+
+    begun = max(executions())
+    write()
+    touched = spark.createDataFrame([(2,), (2,), (6,), (None,)], "audit_id long")
+    new = _issues(spark, [(2, "s2", "dns-no-mx", "warning", "new dns", "https://s2/"),
+                          (3, "s3", "dns-no-mx", "warning", "new dns", "https://s3/")])
+    void = new.withColumn("note", F.lit(None))
+    summary = tables.refresh_audits(spark, root, "dns", touched, void).collect()
+    assert {r["audit_id"]: (r["total_issues"], r["warning_count"]) for r in summary} == {"2": (2, 1), "6": (0, 0)}
+    found = spark.read.parquet(f"{root}/issues").select("audit_id", "issue_key").collect()
+    old = [(i, k) for i in (1, 3, 4, 5) for k in ("dns-no-spf", "missing-title")]
+    assert sorted(map(tuple, found)) == sorted([*old, (2, "dns-no-mx"), (2, "missing-title")])
+    plans = "".join(x.physicalPlanDescription() for i, x in executions().items() if i > begun)
+    assert "SortMergeJoin" in plans and "BroadcastNestedLoopJoin" not in plans
+    keys = re.findall(r"\) BroadcastHashJoin.*\nLeft keys \[\d+\]: \[(.*)\]", plans)
+    assert keys and {re.sub(r"#\w+", "", k) for k in keys} == {"run, audit_date"}
+
+
 def test_html_meets_no_exchange(spark, sf_dir, tmp_path):
     pages = crawl_pages(spark, sf_dir)
     root = str(tmp_path)
